@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import docpairs, syntax
+from . import docpairs, provenance, secrets, syntax
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark, d):
+    return provenance.not_by_hand(_t(spark, d, "chunks"))
+
+
+def p1_provenance(spark, d):
+    return provenance.provenance(_t(spark, d, "chunks"))
+
+
 def p2_found(spark, d):
     return syntax.invalid_files(_t(spark, d, "chunks"))
 
@@ -35,6 +43,14 @@ def p5_pairs(spark, d):
     return docpairs.with_summaries(docpairs.documented_functions(chunks), chunks)
 
 
+def p6_found(spark, d):
+    return secrets.credentials(_t(spark, d, "chunks")).select("repo_id", "file_path", "line_no").distinct()
+
+
+def p6_redacted(spark, d):
+    return secrets.redacted_files(_t(spark, d, "chunks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

@@ -166,7 +166,7 @@ def _line(text: str, a: int, b: int, shell: bool) -> Iterator[Finding]:
         if ":" in plain and plain.isprintable() and len(plain.partition(":")[2]) >= 4 and not PLACEHOLDER.search(plain):
             yield Finding(a + m.start(1), a + m.end(1), "basic", "authorization")
     for m in HEX.finditer(line):
-        if _name_class(m[1]):
+        if _name_class(m[1]) and len(set(m[2])) > 5:
             yield Finding(a + m.start(2), a + m.end(2), "hex", m[1])
     for pattern, first in ((ASSIGN, 2), (PAIR, 2)):
         for m in pattern.finditer(text, a, min(len(text), b + 400)):
