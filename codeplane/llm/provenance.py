@@ -140,7 +140,7 @@ _DATA_LINE = re.compile(
     r"\s*[\[({]?\s*(?:[\"'][^\"']{0,40}[\"']|[-+]?[\d.eE]+)(?:\s*,\s*(?:[\"'][^\"']{0,40}[\"']|[-+]?[\d.eE]+|None|null|True|False|true|false)){2,}\s*[\])}]?,?$|\s*(?:\\x[0-9a-fA-F]{2}){8,}\\?$"
 )
 #: Bounds of the texture of minified code, of data and of repetition.
-DENSE_BLANKS, DENSE_MEAN, DATA_SHARE, DATA_SIZE, VARIETY, VARIETY_LINES, DOMINANT, DOMINANT_LINES = 0.08, 80, 0.6, 1200, 0.6, 20, 0.8, 10
+DENSE_BLANKS, DENSE_MEAN, DATA_SHARE, DATA_SIZE, VARIETY, VARIETY_LINES = 0.08, 80, 0.6, 1200, 0.55, 20
 
 
 def _mask(m: re.Match) -> str:
@@ -153,7 +153,7 @@ def texture(text: str) -> str:
 
     Minified code has hardly a blank; data is numbers, rows and encoded strings for the most part of
     its characters; repetitive code has far fewer shapes of lines (names, numbers and blanks masked)
-    than the square root of their number, or one shape for nearly all of them.
+    than the square root of their number; a table of some dozens of rows amid other code is not.
     """
     body = [l for l in text.split("\n") if l.strip() and not COMMENT.match(l)]
     n = len(body)
@@ -168,12 +168,12 @@ def texture(text: str) -> str:
         data = sum(len(l) for l in body if len(l) > 300 and len(_WORD.findall(l)) * 14 < len(l) or len(l) <= 300 and _DATA_LINE.match(l.rstrip("\r")))
         if data >= DATA_SHARE * size:
             return "data"
-    if n >= DOMINANT_LINES:
+    if n >= VARIETY_LINES:
         shapes: dict[str, int] = {}
         for l in body:
             s = _SHAPE.sub(_mask, l)
             shapes[s] = shapes.get(s, 0) + 1
-        if n >= VARIETY_LINES and len(shapes) < VARIETY * n**0.5 or max(shapes.values()) >= DOMINANT * n:
+        if len(shapes) < VARIETY * n**0.5:
             return "repetitive"
     return ""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import docpairs, provenance, secrets, syntax
+from . import docpairs, provenance, quality, secrets, syntax
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ def p6_redacted(spark, d):
     return secrets.redacted_files(_t(spark, d, "chunks"))
 
 
+def p9_found(spark, d):
+    return quality.judged(_t(spark, d, "documents"), _t(spark, d, "quality_labels")).where("not_prose").select("doc_id")
+
+
+def p9_statistics(spark, d):
+    return quality.judged(_t(spark, d, "documents"), _t(spark, d, "quality_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
