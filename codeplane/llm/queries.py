@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import docpairs, provenance, quality, secrets, syntax
+from . import docpairs, mixing, packing, provenance, quality, secrets, split, syntax, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -34,6 +34,22 @@ def p2_rates(spark, d):
     return syntax.syntax_rates(_t(spark, d, "chunks"))
 
 
+def p3_tokens(spark, d):
+    return tokens.text_tokens(_t(spark, d, "chunks"), _t(spark, d, "documents"))
+
+
+def p3_budget(spark, d):
+    return tokens.token_budget(_t(spark, d, "chunks"), _t(spark, d, "documents"), _t(spark, d, "token_usage"))
+
+
+def p4_found(spark, d):
+    return split.oversized(_t(spark, d, "chunks"), _t(spark, d, "size_limits"))
+
+
+def p4_pieces(spark, d):
+    return split.split_oversized(_t(spark, d, "chunks"), _t(spark, d, "size_limits"))
+
+
 def p5_found(spark, d):
     return docpairs.documented_functions(_t(spark, d, "chunks")).select("repo_id", "file_path", "func_name", "def_line")
 
@@ -51,6 +67,22 @@ def p6_redacted(spark, d):
     return secrets.redacted_files(_t(spark, d, "chunks"))
 
 
+def p7_packed(spark, d):
+    return packing.packed(_t(spark, d, "documents"), _t(spark, d, "size_limits"))
+
+
+def p7_fill(spark, d):
+    return packing.fill(packing.packed(_t(spark, d, "documents"), _t(spark, d, "size_limits")))
+
+
+def p8_drawn(spark, d):
+    return mixing.draw(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark, d):
+    return mixing.shares(*mixing.draw(_t(spark, d, "documents"), _t(spark, d, "mix_targets")))
+
+
 def p9_found(spark, d):
     return quality.judged(_t(spark, d, "documents"), _t(spark, d, "quality_labels")).where("not_prose").select("doc_id")
 
@@ -63,5 +95,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_P4 = r"""
+SELECT DISTINCT repo_id, regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '') AS file_path, ord
+FROM chunks
+WHERE len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) > (SELECT min(max_tokens) FROM size_limits WHERE purpose = 'chunk_split')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _P4.replace("\\\\", "\\")}
