@@ -911,7 +911,8 @@ def check(text: str, lexed: Lexed | None = None, most: int = 20) -> list[tuple[i
         if wrong >= 0:
             skipped = 0
             token = start
-            while token < len(tokens) and skipped < wrong:
+            # an error at the end of the line is one of its last token
+            while token < len(tokens) and skipped < min(wrong, len(s) - 1):
                 skipped += kinds[token] not in "\n#\\"
                 token += 1
             while token < len(tokens) - 1 and kinds[token] in "\n#\\":
