@@ -5,30 +5,37 @@ Tables carry (repo_id, file_path); joins are on the file first, so a range condi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FILE = ["repo_id", "file_path"]
 
 
-def smallest_enclosing(ranges: DataFrame, scopes: DataFrame, keys: list[str], file: list[str] = FILE) -> DataFrame:
+def smallest_enclosing(ranges: DataFrame, scopes: DataFrame, file: list[str] = FILE) -> DataFrame:
     """Each range with the smallest scope that holds it, the first id on ties; 0, the file, if none does.
 
-    ranges(file.., keys.., s, e), scopes(file.., scope_id, start_row, end_row).
+    ranges(file.., s, e, ..), scopes(file.., scope_id, start_row, end_row).
     """
-    sc = scopes.select(*file, "scope_id", "start_row", "end_row")
-    hit = ranges.join(sc, file).where((F.col("start_row") <= F.col("s")) & (F.col("e") <= F.col("end_row")))
-    best = hit.groupBy(*file, *keys).agg(F.min_by("scope_id", F.struct((F.col("end_row") - F.col("start_row")).alias("n"), F.col("scope_id"))).alias("scope_id"))
-    return ranges.join(best, [*file, *keys], "left").withColumn("scope_id", F.coalesce("scope_id", F.lit(0)))
+    # many ranges share their lines, and scopes theirs: only distinct lines meet
+    sc = scopes.groupBy(*file, "start_row", "end_row").agg(F.min("scope_id").alias("scope_id"))
+    hit = ranges.select(*file, "s", "e").distinct().join(sc, file).where((F.col("start_row") <= F.col("s")) & (F.col("e") <= F.col("end_row")))
+    best = hit.groupBy(*file, "s", "e").agg(F.min_by("scope_id", F.struct((F.col("end_row") - F.col("start_row")).alias("n"), F.col("scope_id"))).alias("scope_id"))
+    return ranges.join(best, [*file, "s", "e"], "left").withColumn("scope_id", F.coalesce("scope_id", F.lit(0)))
 
 
 def scope_table(caps: DataFrame) -> DataFrame:
     """Scopes with their parents, 0 being the file (N2): the smallest of the scopes before it that holds it."""
     s = caps.where("kind = 'scope'").select(*FILE, F.col("ord").alias("scope_id"), "sub", "name", "start_row", "end_row")
-    p = s.select(*FILE, F.col("scope_id").alias("p_id"), F.col("start_row").alias("p_start"), F.col("end_row").alias("p_end"))
-    hit = s.join(p, FILE).where((F.col("p_id") < F.col("scope_id")) & (F.col("p_start") <= F.col("start_row")) & (F.col("end_row") <= F.col("p_end")))
-    best = hit.groupBy(*FILE, "scope_id").agg(F.min_by("p_id", F.struct((F.col("p_end") - F.col("p_start")).alias("n"), (-F.col("p_id")).alias("o"))).alias("parent_id"))
-    return s.join(best, [*FILE, "scope_id"], "left").withColumn("parent_id", F.coalesce("parent_id", F.lit(0)))
+    lines = Window.partitionBy(*FILE, "start_row", "end_row").orderBy("scope_id")
+    s = s.withColumn("same", F.lag("scope_id").over(lines))  # a scope of the same lines just before is the smallest there can be
+    p = s.where("same IS NULL").select(*FILE, F.col("scope_id").alias("p_id"), F.col("start_row").alias("p_start"), F.col("end_row").alias("p_end"))
+    top = s.where("same IS NULL").drop("same")
+    hit = top.join(p, FILE).where((F.col("p_id") < F.col("scope_id")) & (F.col("p_start") <= F.col("start_row")) & (F.col("end_row") <= F.col("p_end")))
+    # the enclosing lines of the least extent, and of the scopes with these lines the last before this one
+    best = hit.groupBy(*FILE, "scope_id").agg(F.min_by(F.struct("p_start", "p_end"), F.col("p_end") - F.col("p_start")).alias("q"))
+    last = s.select(*FILE, F.col("scope_id").alias("l_id"), F.col("start_row").alias("p_start"), F.col("end_row").alias("p_end"))
+    found = best.select(*FILE, "scope_id", "q.*").join(last, [*FILE, "p_start", "p_end"]).where("l_id < scope_id").groupBy(*FILE, "scope_id").agg(F.max("l_id").alias("up"))
+    return s.join(found, [*FILE, "scope_id"], "left").withColumn("parent_id", F.coalesce("same", "up", F.lit(0))).drop("same", "up")
 
 
 def placed(caps: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -37,7 +44,7 @@ def placed(caps: DataFrame, scopes: DataFrame) -> DataFrame:
     Functions and classes are hoisted: their name belongs to the scope around the one they open.
     """
     r = caps.where("kind IN ('def', 'import', 'ref')").select(*FILE, "ord", "kind", "sub", "name", F.col("start_row").alias("s"), F.col("start_row").alias("e"), "start_col")
-    x = smallest_enclosing(r, scopes, ["ord"])
+    x = smallest_enclosing(r, scopes)
     par = scopes.select(*FILE, "scope_id", F.col("parent_id").alias("up"), F.col("start_row").alias("sr"), F.col("name").alias("sname"))
     x = x.join(par, [*FILE, "scope_id"], "left")
     own = (F.col("kind") == "def") & F.col("sub").isin("function", "class") & (F.col("sr") == F.col("s")) & (F.col("sname") == F.col("name"))

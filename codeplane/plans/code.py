@@ -267,7 +267,7 @@ def n1(t):
     c = _cc(t)
     sc = c.select("repo_id", "file_path", F.col("ord").alias("scope_id"), F.col("start_line").alias("start_row"), F.col("end_line").alias("end_row")).unionAll(c.groupBy("repo_id", "file_path").agg((F.min("ord") + 1000).alias("scope_id"), F.min("start_line").alias("start_row"), F.max("end_line").alias("end_row")))
     r = c.select("repo_id", "file_path", "ord", (F.col("start_line") + 1).alias("s"), (F.col("start_line") + 3).alias("e"))
-    return N.smallest_enclosing(r, sc, ["ord"]).select("repo_id", "file_path", "ord", "scope_id")
+    return N.smallest_enclosing(r, sc).select("repo_id", "file_path", "ord", "scope_id")
 
 
 @query("n2_scope_tree")
