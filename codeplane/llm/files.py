@@ -51,6 +51,12 @@ def files(chunks: DataFrame, endings: Iterable[str] | None = None) -> DataFrame:
     return parts.select("repo_id", "file_path", text.alias("content"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a small input has fewer partitions than these; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def map_rows(df: DataFrame, each: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
     """Calls ``each(*values of a row)`` for every row; what it yields are the rows of the result.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .files import map_rows
+from .files import map_rows, spread
 from .quality import checkpointed
 from .textstats import running_share
 from .tokens import VOCABULARY, clean_source, with_tokens
@@ -46,7 +46,7 @@ def _weigh(doc_id, source, text):
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, weight, n_tokens) of the documents that have a source and a token."""
-    rows = map_rows(documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND text IS NOT NULL"), _weigh, "doc_id BIGINT, source STRING, text STRING, weight DOUBLE")
+    rows = map_rows(spread(documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND text IS NOT NULL")), _weigh, "doc_id BIGINT, source STRING, text STRING, weight DOUBLE")
     return with_tokens(rows, "text", vocabulary).where("n_tokens > 0")
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import spread
 from .quality import checkpointed
 from .tokens import VOCABULARY, with_tokens
 
@@ -70,7 +71,7 @@ def packed(documents: DataFrame, limits: DataFrame, purposes: tuple[str, ...] =
     Null and empty texts have no tokens and are in no container.  Workers are chosen by the hash of the
     text's id, so none is larger than another; at most one bin per class and worker stays unfilled.
     """
-    sizes = checkpointed(with_tokens(documents.select("doc_id", "text"), "text", vocabulary).where("n_tokens > 0"))
+    sizes = checkpointed(with_tokens(spread(documents.select("doc_id", "text")), "text", vocabulary).where("n_tokens > 0"))
     workers = max(1, -(-sizes.count() // items))
     capacity = limits.where(F.col("purpose").isin(*purposes)).where("max_tokens > 0").groupBy("purpose").agg(F.min("max_tokens").alias("capacity"))
     rows = sizes.join(F.broadcast(capacity))

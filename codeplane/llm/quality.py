@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import map_rows
+from .files import map_rows, spread
 from .textstats import STATISTICS, figures
 
 #: Which tail of a statistic speaks against prose: -1 small values, 1 great values, 0 both.
@@ -45,7 +45,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     Null and blank texts have zeros.  Whole texts are read.
     """
     fields = ", ".join(f"{s} {'INT' if s.startswith('n_') else 'DOUBLE'}" for s in STATISTICS)
-    return map_rows(documents.select("doc_id", "text", language(F.col("lang")).alias("lang")), _each, f"doc_id BIGINT, language STRING, {fields}")
+    return map_rows(spread(documents.select("doc_id", "text", language(F.col("lang")).alias("lang"))), _each, f"doc_id BIGINT, language STRING, {fields}")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import clean_path, extension
+from .files import clean_path, extension, spread
 
 #: Where the vocabulary's ranks are by default; every function takes another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -161,7 +161,7 @@ def chunk_tokens(chunks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     latest counts.  Recorded numbers that are null, zero or negative are null.
     """
     rows = chunks.select("repo_id", clean_path(F.col("file_path")).alias("file_path"), "ord", "chunk_id", "indexed_at", F.when(F.col("tokens") > 0, F.col("tokens")).alias("recorded"), F.col("content").alias("text"))
-    counted = with_tokens(rows.where("file_path IS NOT NULL"), "text", vocabulary)
+    counted = with_tokens(spread(rows.where("file_path IS NOT NULL")), "text", vocabulary)
     last = counted.groupBy("repo_id", "file_path", "ord").agg(F.max(F.struct("indexed_at", "n_tokens", "recorded", "chunk_id")).alias("x"))
     return last.select("repo_id", "file_path", "ord", "x.chunk_id", extension(F.col("file_path")).alias("file_type"), "x.n_tokens", F.col("x.recorded").alias("recorded_tokens"))
 
@@ -171,7 +171,7 @@ def document_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
     from .quality import language
 
     rows = documents.select("doc_id", clean_source(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"), "domain", "text")
-    return with_tokens(rows, "text", vocabulary)
+    return with_tokens(spread(rows), "text", vocabulary)
 
 
 def prompt_tokens(usage: DataFrame) -> DataFrame:
