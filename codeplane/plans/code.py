@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import chunking as K
+from ..operators.graphs import checkpointed
 from ..operators import extract as B
 from ..operators import scopes as N
 from ..operators import search as R
@@ -28,7 +29,8 @@ def _py(t):
 
 
 def _caps(t):
-    return B.captures(_py(t))
+    """Captures, written once where several steps read them."""
+    return checkpointed(B.captures(_py(t)))
 
 
 # ------------------------------------------------------------------------------------ extraction
@@ -69,17 +71,17 @@ def b11(t):
 
 @query("b12_captures")
 def b12(t):
-    return _caps(t)
+    return B.captures(_py(t))
 
 
 @query("b14_references")
 def b14(t):
-    return _caps(t).where("kind = 'ref'").groupBy("repo_id", "file_path", "name").agg(F.count("*").alias("n"))
+    return B.captures(_py(t)).where("kind = 'ref'").groupBy("repo_id", "file_path", "name").agg(F.count("*").alias("n"))
 
 
 @query("b15_contexts")
 def b15(t):
-    return B.contexts(_caps(t))
+    return B.contexts(B.captures(_py(t)))
 
 
 @query("b16_gaps", f"""WITH {CC}, g AS (SELECT repo_id, file_path, ord, start_line, max(end_line) OVER (PARTITION BY repo_id, file_path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM cc)
