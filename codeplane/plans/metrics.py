@@ -10,7 +10,8 @@ from ..sources.chunks import clean_chunks
 from .common import CC, EXT, TU
 from .registry import query
 
-EXTC = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
+def _ext():
+    return F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
 
 
 def _cc(t):
@@ -168,7 +169,7 @@ def e19(t):
 @query("e20_dominant_language", f"""WITH {CC}, s AS (SELECT repo_id, {EXT} AS language, sum(length(content)) AS s FROM cc GROUP BY 1, 2)
  SELECT repo_id, language, s AS total_size FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY s DESC, language) AS rn FROM s) WHERE rn = 1""")
 def e20(t):
-    return M.dominant(_cc(t).select("repo_id", EXTC.alias("language"), F.length("content").alias("n")), "repo_id", "language", "n")
+    return M.dominant(_cc(t).select("repo_id", _ext().alias("language"), F.length("content").alias("n")), "repo_id", "language", "n")
 
 
 @query("e21_differing_alternatives", f"""WITH {CC}, a AS (SELECT repo_id, file_path, list(DISTINCT s) AS spans FROM (SELECT repo_id, file_path, unnest(span_ids) AS s FROM cc WHERE category = 'implementation') GROUP BY 1, 2),
@@ -226,9 +227,9 @@ def e27(t):
     return c.where("c > 0").select("repo_id", F.round(F.col("s") / F.col("c"), 8).alias("ratio"))
 
 
-@query("e28_calls_by_day", f"WITH {TU} SELECT strftime(created_at, '%Y-%m-%d') AS day, function_name, count(*) AS n, round(avg(latency_ms) FILTER (WHERE latency_ms >= 0), 2) AS mean_latency FROM tu GROUP BY 1, 2")
+@query("e28_calls_by_day", f"WITH {TU} SELECT strftime(created_at, '%Y-%m-%d') AS day, function_name, count(*) AS n, CAST(sum(round(latency_ms * 1000)) FILTER (WHERE latency_ms >= 0) AS BIGINT) AS latency_us FROM tu GROUP BY 1, 2")
 def e28(t):
-    return M.latest_calls(t("token_usage")).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "function_name").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))), 2).alias("mean_latency"))
+    return M.latest_calls(t("token_usage")).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "function_name").agg(F.count("*").alias("n"), F.sum(F.when(F.col("latency_ms") >= 0, F.round(F.col("latency_ms") * 1000).cast("bigint"))).alias("latency_us"))
 
 
 @query("e29_keep_at_most", "SELECT user_id, greatest(0, least(count(*) - 5, 20)) AS n_delete FROM events GROUP BY 1")
