@@ -40,19 +40,29 @@ _NO_TEXT = re.compile(
     r"|^\s*(?:if|elif|else|for|while|with|try|except|finally|yield|raise|assert|return|break|continue|pass|import|from|def|class|lambda|print|async|await)\b(?=.*[=()\[\]{}]|[^.]*:$|(?:\s+(?:None|True|False|self|\w+))?$)"
     r"|^\s*\w[\w.,\[\]'\" ]{0,40}\s(?:[-+*/|&]|//)?=\s|^\s*[\w.]+\([^)]*\)\s*;?$|\.{5,}|\t.*\t|^[^ ]{60,}$|(?: [|·>»/] .*){2,}|(?:,[^ ].*){3,}"
 )
+_DIGIT = re.compile(r"\d")
 _SYMBOLS = re.compile(r"[=(){}\[\]<>|\\^~%$#@&*+/_\"]")
 _SENTENCE_END = re.compile(r"(?<=[.!?])[\"'”»)]?\s+|(?<=[:;])\s+(?=[A-ZÄÖÜÉÀ¿¡])")
 
 
+class _Clean(dict):
+    """Whether a token is a clean word; kept for the first 200,000 short tokens that are met."""
+
+    def __missing__(self, token: str) -> bool:
+        clean = _CLEAN.match(token) is not None
+        if len(self) < 200_000 and len(token) <= 32:
+            self[token] = clean
+        return clean
+
+
+_clean = _Clean().__getitem__
+
+
 def _density(words: list[str]) -> float:
     """The greatest share that the common words of one language have."""
     if not words:
         return 0.0
-    counts = dict.fromkeys(COMMON, 0)
-    for w in words:
-        for l in ALL.get(w, ()):
-            counts[l] += 1
-    return max(counts.values()) / len(words)
+    return max(sum(map(c.__contains__, words)) for c in COMMON.values()) / len(words)
 
 
 def _textual(line: str) -> bool:
@@ -63,7 +73,7 @@ def _textual(line: str) -> bool:
     tight = len(bare) - bare.count(" ")
     if len(_SYMBOLS.findall(bare)) > 0.08 * tight + 1:
         return False
-    return sum(c.isdigit() for c in bare) <= 0.2 * tight + 2
+    return len(_DIGIT.findall(bare)) <= 0.2 * tight + 2
 
 
 def _accept(sentence: str, around: float) -> bool:
@@ -72,7 +82,7 @@ def _accept(sentence: str, around: float) -> bool:
     words = [w.lower() for w in WORD.findall(bare)]
     if len(words) < 3 or not tokens:
         return False
-    clean = sum(1 for t in tokens if _CLEAN.match(t))
+    clean = sum(map(_clean, tokens))
     if clean < 0.75 * len(tokens):
         return False
     d = _density(words)
@@ -143,10 +153,10 @@ def figures(text: str | None) -> tuple[tuple, str]:
         n,
         sum(map(len, words)) / n if n else 0.0,
         len(_SYMBOLS.findall(text)) / tight,
-        sum(c.isdigit() for c in text) / tight,
+        len(_DIGIT.findall(text)) / tight,
         sum(1 for l in lines if l[-1] in ".!?:;…\"'”»)") / len(lines),
         counts[best] / n if n else 0.0,
-        sum(1 for t in tokens if _CLEAN.match(t)) / len(tokens) if tokens else 0.0,
+        sum(map(_clean, tokens)) / len(tokens) if tokens else 0.0,
         1 - len(said) / sum(said.values()) if said else 0.0,
         sum(map(len, lines)) / len(lines),
         running_share(text),
