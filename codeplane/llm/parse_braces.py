@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from .lexing import Lexed
 
@@ -90,6 +91,7 @@ class Cursor:
 
     def list_of(self, each, end: str):
         """Calls each until end or the end of the text; after an error, resumes at the next statement."""
+        deep = self.deep
         while True:
             k = self.s[self.i]
             if k == end or k == "\0":
@@ -99,10 +101,7 @@ class Cursor:
                 each()
             except Bad as e:
                 self.errors.append((e.at, e.why))
-                self.deep = min(self.deep, 20)
-                if len(self.errors) >= 20:
-                    self.jump(len(self.s) - 1)
-                    return
+                self.deep = deep
                 self.panic(max(at, self.i))
 
     def panic(self, at: int):
@@ -166,9 +165,10 @@ def positions(lexed: Lexed, text: str, errors: list[tuple[int, str]]) -> list[tu
         before = k
         kept.append(n)
     out = []
+    ends = [m.start() for m in re.finditer("\n", text)]
     for at, why in errors:
         if at >= len(kept):
-            out.append((text.count("\n") + 1, "unexpected end of file" if why.startswith(("unexpected", "expected")) else why))
+            out.append((len(ends) + 1, "unexpected end of file" if why.startswith(("unexpected", "expected")) else why))
         else:
-            out.append((text.count("\n", 0, lexed.start(kept[at])) + 1, why))
+            out.append((bisect_left(ends, lexed.start(kept[at])) + 1, why))
     return sorted(out)

@@ -7,6 +7,7 @@ text, which is what the search for credentials needs; the YAML parser does so fo
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 Leaf = tuple[tuple[str, ...], int, int]
 
@@ -21,6 +22,7 @@ _J_WS = re.compile(r"[ \t\r\n]*")
 _J_STRING = re.compile(r'"((?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+)"')
 _J_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.])", re.A)
 _J_WORD = re.compile(r"(?:true|false|null)\b")
+_J_AGAIN = re.compile(r'[\[{"]')
 DEEPEST = 400
 
 
@@ -66,7 +68,7 @@ class Json:
                 self.i += 1
             except Bad as e:
                 self.errors.append((e.at, e.why))
-                if len(self.errors) >= 20 or not self.recover(end):
+                if not self.recover(end):
                     return
 
     def recover(self, end: str) -> bool:
@@ -119,7 +121,15 @@ def json_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
             p.errors.append((p.i, "extra data"))
     except Bad as e:
         p.errors.append((e.at, e.why))
-    return p.errors, p.leaves
+    errors = [*p.errors]
+    while p.ws():  # what the last error covers has leaves too
+        at = p.i
+        try:
+            p.value(())
+        except Bad:
+            m = _J_AGAIN.search(p.t, max(at + 1, p.i))
+            p.i = m.start() if m else len(p.t)
+    return errors, p.leaves
 
 
 # ----------------------------------------------------------------------------- TOML
@@ -285,8 +295,6 @@ def toml_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
             p.i = m.end()
         except Bad as e:
             p.errors.append((e.at, e.why))
-            if len(p.errors) >= 20:
-                break
             at = p.t.find("\n", max(e.at, p.i))
             p.i = n if at < 0 else at + 1
     return p.errors, p.leaves
@@ -386,6 +394,7 @@ class Yaml:
     def sequence(self, c: int, path: tuple[str, ...]):
         count = 0
         first = True
+        deep = self.deep
         while True:
             if first:
                 l = self.line(self.n)
@@ -402,16 +411,13 @@ class Yaml:
             try:
                 self.inline(l, c + 1, (*path, str(count)), c, True)
             except Bad as e:
+                self.deep = deep
                 self.recover(e, c)
             count += 1
 
     def recover(self, e: Bad, c: int):
         self.errors.append((e.at, e.why))
-        if len(self.errors) >= 20:
-            self.n = len(self.starts)
-            return
-        at = self.t.count("\n", 0, e.at)
-        self.n = max(self.n, at) + 1
+        self.n = max(self.n, bisect_right(self.starts, e.at) - 1) + 1
 
     def inline(self, l: str, i: int, path: tuple[str, ...], parent: int, compact: bool, same: bool = False):
         """What follows '-' , '?' or ':' on a line; same: a sequence may be indented like its key."""
@@ -442,6 +448,7 @@ class Yaml:
 
     def mapping(self, c: int, path: tuple[str, ...]):
         first = True
+        deep = self.deep
         while True:
             if first:
                 l = self.line(self.n)
@@ -472,6 +479,7 @@ class Yaml:
                 self.inline(l, end + 1, (*path, key), c, False, True)
             except Bad as e:
                 first = False
+                self.deep = deep
                 self.recover(e, c)
 
     def value(self, c: int, path: tuple[str, ...], parent: int):
@@ -653,6 +661,7 @@ class Yaml:
                             raise Bad(self.starts[self.n] + c, "a mapping may not begin here")
                         self.value(c, (), -1)
                     except Bad as e:
+                        self.deep = 0
                         self.recover(e, 0)
                 else:
                     self.n += 1
@@ -684,4 +693,5 @@ PARSERS = {"json": json_parse, "toml": toml_parse, "yaml": yaml_parse}
 def check(text: str, language: str) -> list[tuple[int, str]]:
     """All syntax errors as (line, what); an empty list for a valid file."""
     errors, _ = PARSERS[language](text)
-    return sorted((text.count("\n", 0, min(at, len(text))) + 1, why) for at, why in errors)
+    ends = [m.start() for m in re.finditer("\n", text)] if errors else []
+    return sorted((bisect_left(ends, at) + 1, why) for at, why in errors)

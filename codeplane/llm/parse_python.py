@@ -9,6 +9,7 @@ errors of a file are reported, the first being the cause.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from .lexing import PY_WORDS as W
@@ -790,7 +791,7 @@ def _remember(raw: str, outcome: tuple):
         _LINES[raw] = outcome
 
 
-def check(text: str, lexed: Lexed | None = None, most: int = 20) -> list[tuple[int, str]]:
+def check(text: str, lexed: Lexed | None = None) -> list[tuple[int, str]]:
     """All syntax errors as (line, what), in order of line; an empty list for a valid file."""
     if text[:1] == "\ufeff":
         text, lexed = text[1:], None
@@ -799,10 +800,13 @@ def check(text: str, lexed: Lexed | None = None, most: int = 20) -> list[tuple[i
     x = lexed or lex(text, "py")
     kinds = x.kinds.replace("N", "\n")
     errors: list[tuple[int, str]] = []
+    ends: list[int] = []
 
     def line_of(token: int) -> int:
+        if not ends:
+            ends.extend(m.start() for m in re.finditer("\n", text))
         at = x.start(min(token, len(x.tokens) - 1)) if x.tokens else 0
-        return text.count("\n", 0, at) + 1
+        return bisect_left(ends, at) + 1
 
     if "f" in kinds:
         at = kinds.find("f")
@@ -854,8 +858,6 @@ def check(text: str, lexed: Lexed | None = None, most: int = 20) -> list[tuple[i
                     pending = ""
                     last[-1] = ""
                     expects = s[-1:] == ":"
-                    if len(errors) >= most:
-                        break
                     continue
                 if level:
                     if not pending:
@@ -934,16 +936,13 @@ def check(text: str, lexed: Lexed | None = None, most: int = 20) -> list[tuple[i
             elif opener[-1] == "match" and keyword not in ("case", ""):
                 errors.append((line_of(start), "expected 'case'"))
         last[-1] = keyword
-        if len(errors) >= most:
-            break
-    else:
-        if pending:
-            errors.append((line_of(pending_at), "a bracket was never closed"))
-        elif expects:
-            errors.append((text.count("\n") + 1, "expected an indented block"))
-        elif "try" in last:
-            errors.append((text.count("\n") + 1, "expected 'except' or 'finally' block"))
-        elif last[-1] == "@":
-            errors.append((text.count("\n") + 1, "a decorator must precede a function or class"))
+    if pending:
+        errors.append((line_of(pending_at), "a bracket was never closed"))
+    elif expects:
+        errors.append((text.count("\n") + 1, "expected an indented block"))
+    elif "try" in last:
+        errors.append((text.count("\n") + 1, "expected 'except' or 'finally' block"))
+    elif last[-1] == "@":
+        errors.append((text.count("\n") + 1, "a decorator must precede a function or class"))
     errors.sort()
     return errors

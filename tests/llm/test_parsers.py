@@ -136,3 +136,17 @@ def test_lexers_lose_nothing_and_parsers_end(text, language):
 def test_config_parsers_end(text, language):
     for line, _ in parse_config.check(text, language):
         assert line >= 1
+
+
+@pytest.mark.parametrize("text,language", [("x = )\n", "py"), ("x = ];\n", "js"), ("int x = ];\n", "java"), ("a b\n", "toml"), ("- a: @x\n", "yaml")])
+def test_all_errors_of_a_file_are_reported(text, language):
+    assert [line for line, _ in syntax_errors(language, text * 300)] == [*range(1, 301)]
+
+
+def test_all_errors_of_a_json_file_are_reported():
+    assert len(syntax_errors("json", "[" + "x,\n" * 300 + "1]")) == 300
+
+
+def test_nesting_is_counted_anew_behind_errors():
+    assert "too deeply nested" not in {why for _, why in parse_config.check("a:\n  b:\n    c: @x\n" * 300, "yaml")}
+    assert "too deeply nested" not in {why for _, why in syntax_errors("js", "{ if (a) { x = ]; } }\n" * 300)}

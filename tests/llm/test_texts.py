@@ -79,6 +79,13 @@ def test_credentials(text, ending, lines):
     assert [text.count("\n", 0, f.start) + 1 for f in secrets.find(text, ending)] == lines
 
 
+@pytest.mark.parametrize("before,line,ending", [("{{ if a }}\nb: {{ c }}\n", "password: Willow!harbor-6856\n", "yaml"), ("a b\n", "password = 'Willow!harbor-6856'\n", "toml"), ("[x,\n", '{"login": ["me", "Willow!harbor-6856"]}', "json"), ("]", '{"login": ["me", "Willow!harbor-6856"]}', "json")])
+def test_leaves_behind_many_errors(before, line, ending):
+    text = before * 40 + line
+    assert any(text[a:b] == "Willow!harbor-6856" for _, a, b in secrets.config_leaves(text, ending))
+    assert "Willow" not in secrets.redact(text, secrets.find(text, ending))
+
+
 def test_redaction_keeps_the_rest():
     text = f'a = 1\nAPI_KEY = "{KEY}"  # x\nsigning_key = bytes.fromhex("74072d1e79a0a42e978adcf04a9186fc")\nT_TOKEN = "AKIAQ2ENCG" + "EYWRVZVJEB"\n'
     out = secrets.redact(text, secrets.find(text, "py"))
