@@ -338,7 +338,7 @@ def _name_tables(t):
     key = F.concat_ws(":", "repo_id", "file_path", "ord").alias("chunk")
     c = _cc(t)
     r = c.where("imports IS NOT NULL").select(key, F.posexplode(F.flatten(F.map_values("imports"))).alias("ord_", "name")).withColumnRenamed("ord_", "ord")
-    return r, c.where("ord <= 2").select(key, F.explode("span_ids").alias("name"))
+    return r, c.select(key, F.explode("span_ids").alias("name"))
 
 
 @query("n15_name_edges", f"WITH {_NE}, j AS (SELECT r.chunk AS src, d.chunk AS dst, r.name, r.o FROM r JOIN d USING (name) WHERE r.chunk <> d.chunk) SELECT src, dst, name FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY o, name) AS n FROM j) WHERE n = 1")
