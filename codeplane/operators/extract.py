@@ -58,7 +58,7 @@ def _block_type(node: ast.AST, inside_class: bool) -> tuple[str, str] | None:
         return "import", (getattr(node, "module", None) or node.names[0].name)
     if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
         target = node.targets[0] if isinstance(node, ast.Assign) else node.target
-        return "assignment", ast.unparse(target)[:200]
+        return "assignment", ast.unparse(target)
     if isinstance(node, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)):
         return "compound", type(node).__name__.lower()
     if isinstance(node, ast.stmt):
@@ -70,6 +70,16 @@ def _names(node: ast.AST | None) -> list[str]:
     return sorted({n.id for n in ast.walk(node) if isinstance(n, ast.Name)}) if node is not None else []
 
 
+def _calls(node: ast.stmt) -> list[tuple[str, str]]:
+    """Calls of a statement, by breadth; those of the statements within it are theirs."""
+    out, todo = [], [node]
+    for n in todo:
+        if isinstance(n, ast.Call):
+            out.append(("calls", ast.unparse(n.func)))
+        todo += [c for c in ast.iter_child_nodes(n) if not isinstance(c, ast.stmt)]
+    return out
+
+
 def _blocks(repo_id, path, text) -> Iterator[tuple]:
     tree = parse(text)
     if tree is None:
@@ -108,8 +118,7 @@ def _blocks(repo_id, path, text) -> Iterator[tuple]:
                 refs = [("import", f"{'.' * child.level}{child.module or ''}.{x.name}") for x in child.names]
             elif isinstance(child, ast.Import):
                 refs = [("import", x.name) for x in child.names]
-            else:
-                refs = [("calls", ast.unparse(n.func)[:200]) for n in ast.walk(child) if isinstance(n, ast.Call)] if not isinstance(child, (ast.If, ast.For, ast.While, ast.With, ast.Try)) else []
+            refs += _calls(child)
             yield repo_id, path, own, parent, type_, identifier, full, start, child.end_lineno, params, [{"kind": k, "target": v} for k, v in refs], duplicate
             yield from visit(child, own, full, isinstance(child, ast.ClassDef))
 

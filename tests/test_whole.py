@@ -32,3 +32,43 @@ def test_name_edges_reach_every_chunk(spark):
         if pair[0] != pair[1]:
             counts[pair] = counts.get(pair, 0) + 1
     assert {(r.src_cluster, r.dst_cluster): r.n_edges for r in code.n16(lambda _: c).collect()} == counts
+
+
+def test_every_call_is_one_relationship(spark):
+    text = """
+@deco(1)
+def f(a=default(), *, b: note()=other()) -> ret():
+    if test(a) or [inner(x) for x in it(a)]:
+        body()
+    elif test2():
+        pass
+    for x in items():
+        body2()
+    while cond(): step()
+    with open(p) as h, lock():
+        h.read()
+    try:
+        risky()
+    except errors():
+        handle()
+    match subject():
+        case C() if guard():
+            arm()
+async def g():
+    async for x in source():
+        await use(x)
+    async with session():
+        pass
+@cls_deco()
+class A(base(), metaclass=meta()):
+    x = field()
+"""
+    long = ".".join(f"part{i}" for i in range(60))
+    text += f"{long}.a()\n{long}.b()\n{long} = 1\n"
+    files = spark.createDataFrame([(1, "f.py", text)], "repo_id INT, file_path STRING, content STRING")
+    blocks = extract.blocks(files).collect()
+    calls = sorted(r.target for b in blocks for r in b.relationships if r.kind == "calls")
+    assert calls == sorted(ast.unparse(n.func) for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Call))
+    assert long in [b.identifier for b in blocks]
+    of = {r.target: (b.type, b.identifier) for b in blocks for r in b.relationships if r.kind == "calls"}
+    assert of["deco"] == of["default"] == ("function", "f") and of["test"] == ("compound", "if") and of["handle"][0] == "statement" and of["errors"] == ("compound", "try") and of["guard"] == ("compound", "match")
