@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,19 +69,26 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """(node, community) by label propagation (H1): every node takes the label with the most links among its neighbours and
     itself, the smallest on ties; parallel edges count as often as they occur; isolated nodes have no community.
 
-    Each round is a join and an aggregation; nothing but the count of changes reaches the driver.
+    Rounds go on until no label changes. All nodes move at once in the first ``rounds``; as that may swing for ever, of
+    linked nodes only one moves at a time from then on, which adds links within communities at every move and so ends.
+    Each round is a join and an aggregation; nothing but whether there are changes reaches the driver.
     """
     links = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
     links = checkpointed(links)
     labels = links.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for n in range(rounds):
+    for n in count():
         votes = links.join(labels.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "w").unionAll(labels.select("node", "community", F.lit(1).cast("bigint").alias("w")))
         best = votes.groupBy("node", "community").agg(F.sum("w").alias("w")).groupBy("node").agg(F.min_by("community", F.struct((-F.col("w")).alias("w"), F.col("community"))).alias("new"))
         moved = checkpointed(labels.join(best, "node").select("node", F.col("community").alias("old"), "new"))
         labels = moved.select("node", F.col("new").alias("community"))
-        if moved.where("old <> new").limit(1).count() == 0:
-            break
-    return labels
+        movers = moved.where("old <> new")
+        if movers.limit(1).count() == 0:
+            return labels
+        if n >= rounds:
+            turn = movers.select("node", F.struct(F.xxhash64("node", F.lit(n)), "node").alias("turn"))
+            near = links.select("src", "dst").join(turn.select(F.col("node").alias("src"), F.col("turn").alias("own")), "src").join(turn.select(F.col("node").alias("dst"), "turn"), "dst")
+            waits = near.where("turn < own").select(F.col("src").alias("node"), F.lit(True).alias("waits")).distinct()
+            labels = moved.join(waits, "node", "left").select("node", F.when(F.col("waits"), F.col("old")).otherwise(F.col("new")).alias("community"))
 
 
 def codelength(edges: DataFrame, labels: DataFrame) -> DataFrame:

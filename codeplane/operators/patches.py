@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import checkpointed
+
 
 def patch_spans(hunks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans whose lines a patch's hunks share, per patch and file (N24). hunks(keys.., file, start, end), spans(file, span_id, s, e)."""
@@ -48,19 +52,24 @@ def report(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(group).agg(F.concat(F.lit(head + "\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*columns, line.alias("__l")))), lambda x: x["__l"]), "\n")).alias("report"))
 
 
-def expanded(seeds: DataFrame, edges: DataFrame, tokens: DataFrame, limit: int, group: str, depth: int = 5) -> DataFrame:
+def expanded(seeds: DataFrame, edges: DataFrame, tokens: DataFrame, limit: int, group: str, depth: int | None = None) -> DataFrame:
     """Nodes reached from seeds by breadth, level by level and then by name, while their tokens fit.
 
-    seeds(group, node), edges(group, src, dst), tokens(group, node, tokens).
+    seeds(group, node), edges(group, src, dst), tokens(group, node, tokens). Goes on until a group has no new nodes, or
+    those found are over the limit, so that none behind them fits; with a depth, at most so many levels.
     """
     from pyspark.sql import Window
 
-    near = related(edges, group)
-    found = seeds.select(group, "node").distinct().withColumn("level", F.lit(0))
-    front = found
-    for level in range(1, depth + 1):
+    near = checkpointed(related(edges, group))
+    found = front = checkpointed(seeds.select(group, "node").distinct().withColumn("level", F.lit(0)))
+    for level in count(1) if depth is None else range(1, depth + 1):
+        spent = found.join(tokens, [group, "node"]).groupBy(group).agg(F.sum("tokens").alias("spent")).where(F.col("spent") > limit)
+        front = front.join(spent, group, "left_anti")
         front = front.join(near, [group, "node"]).select(group, F.col("related").alias("node")).distinct().join(found.select(group, "node"), [group, "node"], "left_anti").withColumn("level", F.lit(level))
-        found = found.unionByName(front)
+        front = checkpointed(front)
+        if front.limit(1).count() == 0:
+            break
+        found = checkpointed(found.unionByName(front))
     w = Window.partitionBy(group).orderBy("level", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = found.join(tokens, [group, "node"]).withColumn("sum_tokens", F.sum("tokens").over(w))
     return x.where(F.col("sum_tokens") <= limit)

@@ -49,7 +49,7 @@ def h17(t):
     e = c.select("repo_id", F.col("chunk_id").alias("src"), F.explode(F.map_keys("imports")).alias("dst"))
     tokens = c.groupBy("repo_id", F.col("chunk_id").alias("node")).agg(F.sum(F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))).alias("tokens"))
     seeds = c.where("ord = 2").groupBy("repo_id").agg(F.min("chunk_id").alias("node"))
-    return P.expanded(seeds, e, tokens, 4000, "repo_id", 3).select("repo_id", "node", "level", "sum_tokens")
+    return P.expanded(seeds, e, tokens, 4000, "repo_id").select("repo_id", "node", "level", "sum_tokens")
 
 
 @query("b21_lint_codes", "SELECT event_id, event_type FROM events WHERE upper(event_type[1]) IN ('E', 'P')")

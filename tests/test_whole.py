@@ -72,3 +72,23 @@ class A(base(), metaclass=meta()):
     assert long in [b.identifier for b in blocks]
     of = {r.target: (b.type, b.identifier) for b in blocks for r in b.relationships if r.kind == "calls"}
     assert of["deco"] == of["default"] == ("function", "f") and of["test"] == ("compound", "if") and of["handle"][0] == "statement" and of["errors"] == ("compound", "try") and of["guard"] == ("compound", "match")
+
+
+def test_communities_go_on_until_no_label_changes(spark):
+    links = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(10) for _ in range(10 - i)] + [(f"x{i}", f"y{j}") for i in range(3) for j in range(3)]
+    label = {r.node: r.community for r in graphs.communities(spark.createDataFrame(links, "src STRING, dst STRING")).collect()}
+    for node, own in label.items():
+        votes = {own: 1}
+        for a, b in links:
+            if node in (a, b):
+                other = label[b if node == a else a]
+                votes[other] = votes.get(other, 0) + 1
+        assert min(votes, key=lambda c: (-votes[c], c)) == own
+
+
+def test_expansion_goes_on_until_the_budget_is_spent(spark):
+    edges = spark.createDataFrame([(g, f"n{i:02d}", f"n{i + 1:02d}") for g in (1, 2) for i in range(7)], "g INT, src STRING, dst STRING")
+    tokens = spark.createDataFrame([(g, f"n{i:02d}", g) for g in (1, 2) for i in range(8)], "g INT, node STRING, tokens INT")
+    seeds = spark.createDataFrame([(1, "n00"), (2, "n00")], "g INT, node STRING")
+    got = sorted((r.g, r.node, r.level, r.sum_tokens) for r in patches.expanded(seeds, edges, tokens, 11, "g").collect())
+    assert got == [(1, f"n{i:02d}", i, i + 1) for i in range(8)] + [(2, f"n{i:02d}", i, 2 * i + 2) for i in range(5)]
