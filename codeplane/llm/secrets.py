@@ -27,7 +27,7 @@ STRONG = re.compile(
     r"encryption[ _.-]?key|master[ _.-]?key|credentials?|(?<![a-z])creds?(?![a-z])|bearer|authorization|x-api-key|client[ _.-]?secret",
     re.I,
 )
-WEAK = re.compile(r"(?:^|[_\W]|(?<=[a-z0-9]))(?:key|auth|login|Key|Auth|Login|KEY|AUTH|LOGIN|dsn|salt|cookie|session)(?![a-z])")
+WEAK = re.compile(r"(?:^|[_\W]|(?<=[a-z0-9]))(?:key|auth|login|Key|Auth|Login|KEY|AUTH|LOGIN|dsn|salt|cookie|session|DSN|Salt|SALT|Cookie|COOKIE|Session|SESSION)(?![a-z])")
 #: Names of things that only speak of credentials, or are no secret.
 NO_SECRET = re.compile(
     r"(?:name|field|file|path|header|env|var|type|id|url|uri|pattern|regex|re|prefix|suffix|length|len|size|count|limit|ttl|label|title|class|column|param|dir|endpoint|hint|policy|"
@@ -54,8 +54,8 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"(?:\s|\\n|\\r|[\"'+,\\]|[#*/;>| ])*([A-Za-z0-9+/=]{20,})")
 URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,30}://([^\s:/@'\"<>`]*):([^\s/@'\"<>`]+)@[\w\[.-]", re.I)
 HINTS = (
-    "pass pwd secret token key credential creds login auth bearer basic :// -----begin akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- _live_ _prod_ eyj xox aiza npm_ pypi- _pw jdbc dsn".split()
-    + [" pw", '"pw', "'pw", "-pw"]
+    "pass pw secret token key cred login auth bearer basic :// -----begin akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- _live_ _prod_ _test_ sg. eyj xox aiza npm_ pypi- jdbc dsn salt cookie session".split()
+    + ["log in", "logs in", "sign in", "signs in", "signed in"]
 )
 
 
@@ -100,7 +100,7 @@ def _entropy(v: str) -> float:
 
 def secret_like(v: str, sure: bool) -> bool:
     """Whether a value has the shape of a credential; sure: its name says that it is one."""
-    if not 8 <= len(v) <= 4096 or PLACEHOLDER.search(v) or HASHED.search(v) or " " in v.strip() or "\t" in v:
+    if len(v) < 8 or PLACEHOLDER.search(v) or HASHED.search(v) or " " in v.strip() or "\t" in v:
         return False
     if ISSUED.match(v):
         return True
@@ -119,7 +119,7 @@ def secret_like(v: str, sure: bool) -> bool:
     return c >= 4 and not re.search(r"[(){}\[\]<>;,]", v) or c >= 3 and len(v) >= 20 and _entropy(v) > 3.7 and bool(re.fullmatch(r"[A-Za-z0-9+/=_-]+", v))
 
 
-_Q = r"(?:[rRbBuUfF]{0,2})(?:\"([^\"\n\\]{4,4096})\"|'([^'\n\\]{4,4096})'|`([^`\n\\]{4,4096})`)"
+_Q = r"(?:[rRbBuUfF]{0,2})(?:\"([^\"\n\\]{4,})\"|'([^'\n\\]{4,})'|`([^`\n\\]{4,})`)"
 _NAME = r"([A-Za-z_$][\w.$-]*)"
 #: name = "value", name: "value", "name": "value", name := ..., with a type or a fallback before the value
 ASSIGN = re.compile(r"(?<![\w$.-])[\"']?" + _NAME + r"[\"']?\]?\s*(?::\s*[A-Za-z][\w\[\]., |]*?(?==))?\s*(?:\|\|=|\?\?=|:=|=>|[=!]==?|=|:(?!:))\s*(?:\(\s*)?(?:[\w.$\[\]\"'()]*\s*(?:\|\||\?\?|\bor\b)\s*)?" + _Q)
@@ -148,9 +148,14 @@ def _value(m: re.Match, first: int) -> tuple[int, int, str] | None:
     return None
 
 
+#: Lines on which a value that is named on the line before them may stand: more than any pattern has gaps.
+_BEHIND = re.compile(r"(?:\s*+[^\n]++){0,12}+")
+
+
 def _line(text: str, a: int, b: int, shell: bool) -> Iterator[Finding]:
     """Findings that begin on the line text[a:b]."""
     line = text[a:b]
+    end_of = _BEHIND.match(text, b).end()
     for m in ISSUED.finditer(line):
         if not PLACEHOLDER.search(m[0]):
             yield Finding(a + m.start(), a + m.end(), "issued", "")
@@ -169,7 +174,7 @@ def _line(text: str, a: int, b: int, shell: bool) -> Iterator[Finding]:
         if _name_class(m[1]) and len(set(m[2])) > 5:
             yield Finding(a + m.start(2), a + m.end(2), "hex", m[1])
     for pattern, first in ((ASSIGN, 2), (PAIR, 2)):
-        for m in pattern.finditer(text, a, min(len(text), b + 400)):
+        for m in pattern.finditer(text, a, end_of):
             if m.start() >= b:
                 break
             c = _name_class(m[1])
@@ -180,17 +185,15 @@ def _line(text: str, a: int, b: int, shell: bool) -> Iterator[Finding]:
             while pattern is ASSIGN and (n := CONCAT.match(text, at)):
                 whole += n[1] if n[1] is not None else n[2]
                 at = n.end()
-                if len(whole) > 4096:
-                    break
             if secret_like(whole, c == 2) and not PEM.search(whole):
                 yield Finding(start, end, "concatenated" if whole != value else "assigned", m[1])
-    for m in TUPLE.finditer(text, a, min(len(text), b + 400)):
+    for m in TUPLE.finditer(text, a, end_of):
         if m.start() >= b:
             break
         start, end, value = _value(m, 2)
         if secret_like(value, True):
             yield Finding(start, end, "login", m[1])
-    for m in CONNECT.finditer(text, a, min(len(text), b + 400)):
+    for m in CONNECT.finditer(text, a, end_of):
         if m.start() >= b:
             break
         start, end, value = _value(m, 1)

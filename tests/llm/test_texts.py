@@ -86,6 +86,18 @@ def test_leaves_behind_many_errors(before, line, ending):
     assert "Willow" not in secrets.redact(text, secrets.find(text, ending))
 
 
+_LONG = "aZ3+" + "kQ9/mB2x" * 600
+
+
+@pytest.mark.parametrize(
+    "text,ending",
+    [('mail.setup("SG.q8Zk2LmN4pR6tV8xY0.b1D3f5H7j9K1m3N5p7")', "py"), ('mail.setup("rk_test_9fK2mP4qR6sT8vW0")', "py"), ('SESSION_SALT = "q8Zk2LmN4pR6tV8xY0b1D3f5"', "py"), ('COOKIE = "q8Zk2LmN4pR6tV8xY0b1D3f5"', "py"), ('cred = "Willow!harbor-6856"', "py"), ('pw = "Willow!harbor-6856"', "py"),
+     (f'API_KEY = "{_LONG}"', "py"), ("password = (\n" + " " * 500 + "\n'Willow!harbor-6856')", "py"), ("mail:\n  via: SG.q8Zk2LmN4pR6tV8xY0.b1D3f5H7j9K1m3N5p7\n", "yaml")],
+)
+def test_every_name_and_form_is_searched(text, ending):
+    assert len(secrets.find(text, ending)) == 1
+
+
 def test_redaction_keeps_the_rest():
     text = f'a = 1\nAPI_KEY = "{KEY}"  # x\nsigning_key = bytes.fromhex("74072d1e79a0a42e978adcf04a9186fc")\nT_TOKEN = "AKIAQ2ENCG" + "EYWRVZVJEB"\n'
     out = secrets.redact(text, secrets.find(text, "py"))
