@@ -81,3 +81,40 @@ def map_rows(df: DataFrame, each: Callable[..., Iterator[tuple]], schema: str) -
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, each: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Calls ``each(*lists of values of the columns)`` for some hundred rows at a time; what it returns are the rows of the result."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    names = arrow.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                if out := each(*(c.to_pylist() for c in batch.slice(at, SLICE).columns)):
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written once to the folder that the session's spark.checkpoint.dir names.
+
+    Where none is set a temporary folder serves a local session; on a cluster, where executors would not share it, that is an error.
+    """
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .files import map_rows, spread
-from .quality import checkpointed
-from .textstats import running_share
-from .tokens import VOCABULARY, clean_source, with_tokens
+from .files import checkpointed, map_batches, spread
+from .textstats import running_shares
+from .tokens import VOCABULARY, clean_source, merger, shipped
 
 #: Weight of a text without any running sentence, where 1 + this is that of prose.
 LEAST_WEIGHT = 0.05
@@ -40,14 +39,15 @@ def running_sums(df: DataFrame, group: str, order: list[str], value: str, name:
     return ranged.withColumn("__s", F.sum(value).over(here)).join(F.broadcast(offsets), ["__p", group]).withColumn(name, F.col("__s") + F.col("__o")).drop("__p", "__s", "__o")
 
 
-def _weigh(doc_id, source, text):
-    yield doc_id, source, text, LEAST_WEIGHT + running_share(text)
+def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, weight, n_tokens) of the documents that have a source and a token; a text is read once for both."""
+    vocabulary = shipped(documents.sparkSession, vocabulary)
 
+    def each(ids: list, sources: list, texts: list) -> list[tuple]:
+        return [(i, s, LEAST_WEIGHT + w, n) for i, s, w, n in zip(ids, sources, running_shares(texts), merger(vocabulary).count(texts)) if n > 0]
 
-def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, weight, n_tokens) of the documents that have a source and a token."""
-    rows = map_rows(spread(documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND text IS NOT NULL")), _weigh, "doc_id BIGINT, source STRING, text STRING, weight DOUBLE")
-    return with_tokens(rows, "text", vocabulary).where("n_tokens > 0")
+    rows = documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND text IS NOT NULL")
+    return map_batches(spread(rows), each, "doc_id BIGINT, source STRING, weight DOUBLE, n_tokens INT")
 
 
 def budgets(available: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:

@@ -13,8 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import spread
-from .quality import checkpointed
+from .files import checkpointed, spread
 from .tokens import VOCABULARY, with_tokens
 
 #: Classes with a bin count of their own; shorter items are packed by size alone.

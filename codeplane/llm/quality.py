@@ -3,26 +3,36 @@
 Ranks come from a range-partitioned sort: every partition ranks its own rows, and a summary with a few
 rows per partition gives the offsets that make the ranks global and ties exact.  A value that a third
 of all rows share is spread over partitions by the document's id, so no partition is larger than another.
+
+The tail probabilities of all statistics are summed up with weights, fitted on raters' labels, to a
+score; the score decides.  Only where it leaves a document undecided are its running sentences counted.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .files import map_rows, spread
+from .files import checkpointed, map_batches, spread
 from .textstats import STATISTICS, figures
 
 #: Which tail of a statistic speaks against prose: -1 small values, 1 great values, 0 both.
-SIDES = {"mean_word_length": 0, "symbol_ratio": 1, "digit_ratio": 1, "end_punct_share": -1, "common_share": -1, "clean_share": -1, "repeat_share": 1, "running_share": -1}
-#: A document is prose if running sentences make up this share at least.
-PROSE_SHARE = 0.5
-#: Labelled documents that the threshold of candidates is fitted on, at most.
+SIDES = {
+    "mean_word_length": 0, "symbol_ratio": 1, "digit_ratio": 1, "end_punct_share": -1, "short_share": -1, "clean_share": -1, "repeat_share": 1, "mean_line_length": -1, "running_share": -1,
+}
+#: Weight of every tail, and of their constant, before any label is seen.
+PRIOR, PRIOR_CONSTANT = 0.4, -4.0
+#: What a departure of a weight from the prior costs, squared; labels outweigh it from some dozens on.
+STIFFNESS = 1.0
+#: Labelled documents that the weights are fitted on, at most; they are chosen by the hash of their id.
 LABEL_SAMPLE = 5000
-#: Group of the documents whose language neither their words nor their record tell: small groups of only such texts have no ranks worth comparing.
+#: Between these probabilities of being no prose a document is undecided.
+UNDECIDED = (0.1, 0.9)
+#: An undecided document is prose if running sentences make up this share at least.
+PROSE_SHARE = 0.5
+#: Documents that a language needs for ranks of its own; the others are ranked among those of FALLBACK, as no statistic in the score is bound to a language.
+LEAST_GROUP = 50
+#: Group of the documents whose language neither their words nor their record tell, and of rare languages.
 FALLBACK = "en"
 
 
@@ -34,9 +44,9 @@ def language(lang: Column) -> Column:
     )
 
 
-def _each(doc_id, text: str | None, lang: str | None) -> Iterator[tuple]:
-    values, found = figures(text)
-    yield (doc_id, found or lang or FALLBACK, *values)
+def _each(ids: list, texts: list, langs: list) -> list[tuple]:
+    values, found = figures(texts)
+    return [(i, f or l or FALLBACK, *v) for i, l, f, v in zip(ids, langs, found, values)]
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
@@ -45,17 +55,26 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     Null and blank texts have zeros.  Whole texts are read.
     """
     fields = ", ".join(f"{s} {'INT' if s.startswith('n_') else 'DOUBLE'}" for s in STATISTICS)
-    return map_rows(spread(documents.select("doc_id", "text", language(F.col("lang")).alias("lang"))), _each, f"doc_id BIGINT, language STRING, {fields}")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written once to the session's checkpoint folder; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+    return map_batches(spread(documents.select("doc_id", "text", language(F.col("lang")).alias("lang"))), _each, f"doc_id BIGINT, language STRING, {fields}")
+
+
+def _offsets(parts: list) -> list[tuple[int, int, int]]:
+    """Per partition of one group, in their order: rows before it, rows less than its least value, rows not greater than its greatest."""
+    rows_before, less = 0, []
+    value, tied = None, 0  # the greatest value so far and how many rows at the end have it
+    for r in parts:
+        equal = tied if r["lo"] == value else 0
+        less.append((rows_before, rows_before - equal))
+        value, tied = r["hi"], r["c_hi"] + (equal if r["lo"] == r["hi"] else 0)
+        rows_before += r["n"]
+    out = []
+    rows_up_to, value, tied = rows_before, None, 0  # the same from the end
+    for r, (offset, lo_less) in zip(reversed(parts), reversed(less)):
+        equal = tied if r["hi"] == value else 0
+        out.append((offset, lo_less, rows_up_to + equal))
+        value, tied = r["lo"], r["c_lo"] + (equal if r["lo"] == r["hi"] else 0)
+        rows_up_to -= r["n"]
+    return out[::-1]
 
 
 def exact_ranks(df: DataFrame, groups: list[str], value: str, key: str) -> DataFrame:
@@ -78,12 +97,7 @@ def exact_ranks(df: DataFrame, groups: list[str], value: str, key: str) -> DataF
     rows = []
     for g, rs in by.items():
         total = sum(r["n"] for r in rs)
-        offset = 0
-        for k, r in enumerate(rs):
-            less = sum(q["n"] - (q["c_hi"] if q["hi"] == r["lo"] else 0) for q in rs[:k])
-            least = offset + r["n"] + sum(q["c_lo"] if q["lo"] == r["hi"] else 0 for q in rs[k + 1 :])
-            rows.append((r[own], *g, float(r["lo"]), float(r["hi"]), offset, less, least, total))
-            offset += r["n"]
+        rows += [(r[own], *g, float(r["lo"]), float(r["hi"]), *o, total) for r, o in zip(rs, _offsets(rs))]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"{own} INT, " + ", ".join(f"{g} {kinds[g]}" for g in groups) + ", lo DOUBLE, hi DOUBLE, offset BIGINT, lo_less BIGINT, hi_least BIGINT, n_group BIGINT"
     corrections = spark.createDataFrame(rows, schema)
@@ -96,38 +110,70 @@ def exact_ranks(df: DataFrame, groups: list[str], value: str, key: str) -> DataF
     )
 
 
-def outlier_scores(statistics: DataFrame) -> DataFrame:
-    """(doc_id, language, score): the summed negative logarithms of the statistics' tail probabilities in their language.
+def tail_scores(statistics: DataFrame) -> DataFrame:
+    """One row per document: doc_id and, per statistic, tail_NAME, the negative logarithm of its tail probability in its language.
 
     The probability of the lower tail is the share of documents with a value not greater, that of the
     upper tail the share with a value not smaller, that of both twice the smaller of these, 1 at most.
     """
-    melted = statistics.select("doc_id", "language", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in SIDES])).alias("x")).select("doc_id", "language", "x.statistic", "x.value")
-    ranked = exact_ranks(melted, ["statistic", "language"], "value", "doc_id")
+    large = statistics.groupBy("language").agg(F.count("*").alias("__n")).where(F.col("__n") >= LEAST_GROUP).select("language", F.lit(True).alias("__large"))
+    grouped = statistics.join(F.broadcast(large), "language", "left").withColumn("group", F.when(F.col("__large"), F.col("language")).otherwise(F.lit(FALLBACK)))
+    melted = grouped.select("doc_id", "group", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in SIDES])).alias("x")).select("doc_id", "group", "x.statistic", "x.value")
+    ranked = exact_ranks(melted, ["statistic", "group"], "value", "doc_id")
     low, high = F.col("n_least") / F.col("n_group"), (F.col("n_group") - F.col("n_less")) / F.col("n_group")
-    side = F.create_map(*[x for s, v in SIDES.items() for x in (F.lit(s), F.lit(v))])[F.col("statistic")]
-    tail = F.when(side < 0, low).when(side > 0, high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
-    return ranked.groupBy("doc_id", "language").agg(F.sum(-F.ln(tail)).alias("score"))
 
+    def tail(side: int) -> Column:
+        return low if side < 0 else high if side else F.least(F.lit(1.0), 2 * F.least(low, high))
+
+    return ranked.groupBy("doc_id").agg(*[F.max(F.when(F.col("statistic") == s, -F.ln(tail(side)))).alias(f"tail_{s}") for s, side in SIDES.items()])
 
-def candidate_threshold(scores: DataFrame, labels: DataFrame, limit: int = LABEL_SAMPLE) -> float:
-    """The score from which a document may be no prose: the least among those that raters called not_prose, its extremes aside.
 
-    Fitted on at most ``limit`` labelled documents (by the hash of their id).  Without such labels every document is a candidate.
+def fit_weights(tails: DataFrame, labels: DataFrame, limit: int = LABEL_SAMPLE) -> list[float]:
+    """The constant and the weights of the tails in the order of SIDES, by logistic regression on labelled documents.
+
+    At most ``limit`` labelled documents reach the driver; a document with contradictory labels counts by the
+    share of them.  Weights are held near the prior, which is the result without labels, and never fall under 0.
     """
-    said = labels.where("label = 'not_prose'").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(limit)
-    found = scores.join(said, "doc_id").agg(F.percentile_approx("score", F.lit(0.01), F.lit(10000)).alias("t")).first()["t"]
-    return found * 0.5 if found is not None else 0.0
+    import numpy as np
+
+    said = labels.where(F.col("label").isin("prose", "not_prose")).groupBy("doc_id").agg(F.avg((F.col("label") == "not_prose").cast("double")).alias("said"))
+    known = tails.join(said, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
+    prior = np.array([PRIOR_CONSTANT, *[PRIOR] * len(SIDES)])
+    if known.empty:
+        return prior.tolist()
+    x = np.column_stack([np.ones(len(known)), known[[f"tail_{s}" for s in SIDES]].to_numpy(float)])
+    t = known["said"].to_numpy(float)
+    stiff = STIFFNESS * np.array([0.1, *[1.0] * len(SIDES)])
+    w = prior.copy()
+    for _ in range(100):  # Newton's steps; the loss is convex
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(stiff), x.T @ (p - t) + stiff * (w - prior))
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return [float(w[0]), *np.maximum(w[1:], 0).tolist()]
+
+
+def outlier_scores(tails: DataFrame, weights: list[float]) -> DataFrame:
+    """Adds score, the weighted sum of the tails, and probability, what it says of the document's being no prose."""
+    score = sum((F.col(f"tail_{s}") * w for s, w in zip(SIDES, weights[1:])), F.lit(weights[0]))
+    return tails.withColumn("score", score).withColumn("probability", 1 / (1 + F.exp(-F.col("score"))))
 
 
 def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The statistics of each document with its outlier score and whether it is no natural prose.
+    """The statistics of each document with its outlier score, what it says, and whether the document is no natural prose.
 
-    A document is none if its score makes it a candidate and, as an exact check, running sentences make
-    up less than half of its characters.  Null and blank texts are cases; labels may be empty or contradictory.
+    The score decides where its probability is outside UNDECIDED (decided_by 'score'); of the others, as an
+    exact check, those are no prose in which running sentences make up less than half of the characters
+    (decided_by 'sentences').  Null and blank texts, and others without a word, are cases; labels may be empty or contradictory.
     """
     statistics = checkpointed(text_statistics(documents))
-    scores = checkpointed(outlier_scores(statistics))
-    threshold = candidate_threshold(scores, labels)
-    joined = statistics.join(scores.drop("language"), "doc_id")
-    return joined.withColumn("not_prose", (F.col("score") >= threshold) & (F.col("running_share") < PROSE_SHARE))
+    tails = checkpointed(tail_scores(statistics))
+    scores = outlier_scores(tails, fit_weights(tails, labels)).select("doc_id", "score", "probability")
+    low, high = UNDECIDED
+    undecided = F.col("probability").between(low, high)
+    return (
+        statistics.join(scores, "doc_id")
+        .withColumn("decided_by", F.when(undecided, "sentences").otherwise("score"))
+        .withColumn("not_prose", (F.col("n_words") == 0) | F.when(undecided, F.col("running_share") < PROSE_SHARE).otherwise(F.col("probability") > high))
+    )

@@ -2,17 +2,20 @@
 
 Texts are split into pieces; a piece's bytes are an array of symbols, and each distinct piece of a slice
 of rows is merged once: adjacent pairs are joined with the table of merge ranks, the lowest-ranked merge
-of every piece is applied, and so on until no pair has a rank.  All pieces advance together in arrays.
+of every piece is applied, and so on until no pair has a rank.  All pieces advance together in arrays;
+a long piece keeps its pairs in a heap.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import clean_path, extension, spread
@@ -22,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces whose counts a worker remembers, at most.
 REMEMBERED = 1_000_000
 SLICE = 256
+#: Bytes from which a piece is merged by itself with a heap; shorter ones advance together.
+LONG = 128
 
 # The pattern that splits text before merging, and its form for ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,6 +50,7 @@ class Merger:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = rank
+        self.pairs = pairs
         keys = np.fromiter(pairs.keys(), dtype=np.int64, count=len(pairs))
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -67,6 +73,8 @@ class Merger:
             b = p.encode("utf-8", "surrogatepass")
             if b in self.ranks:
                 self.counts[p] = 1
+            elif len(b) > LONG:
+                self.counts[p] = self._long(b)
             else:
                 rest.append((p, b))
         if not rest:
@@ -86,10 +94,10 @@ class Merger:
             rank = np.append(rank, none)
             # the lowest rank of each piece, its leftmost place
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            place = np.minimum.reduceat(rank * len(symbols) + np.arange(len(symbols)), starts)
-            best, where = place // len(symbols), place % len(symbols)
-            go = best < none
             ends = np.append(starts[1:], len(symbols))
+            best = np.minimum.reduceat(rank, starts)
+            where = np.minimum.reduceat(np.where(rank == np.repeat(best, ends - starts), np.arange(len(symbols)), len(symbols)), starts)
+            go = best < none
             done[owner[starts[~go]]] = (ends - starts)[~go]
             # the merge
             symbols[where[go]] = best[go]
@@ -98,6 +106,32 @@ class Merger:
             symbols, owner = symbols[keep], owner[keep]
         self.counts.update((p, int(n)) for (p, _), n in zip(rest, done))
 
+    def _long(self, piece: bytes) -> int:
+        """Tokens of a long piece: its pairs wait in a heap by rank and place, so the time grows with n log n."""
+        rank_of = self.pairs.get
+        symbols = [*map(self.single.tolist().__getitem__, piece)]
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank_of(a << 20 | b)) is not None]
+        heapify(heap)
+        count = n
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 20 | symbols[j]) != rank:
+                continue  # one of the two was merged meanwhile
+            symbols[i], symbols[j] = rank, -1
+            k = after[i] = after[j]
+            count -= 1
+            if k < n:
+                before[k] = i
+                if (r := rank_of(rank << 20 | symbols[k])) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank_of(symbols[h] << 20 | rank)) is not None:
+                heappush(heap, (r, h))
+        return count
+
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; null texts have none."""
         split = [self.split(t) if t else [] for t in texts]
@@ -122,9 +156,21 @@ def _unicode():
     return regex.compile(PATTERN)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The path, with a file that the driver has under it sent along with the job, so that executors need none."""
+    if os.path.isfile(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
 @lru_cache(maxsize=4)
 def merger(path: str) -> Merger:
-    return Merger(path)
+    """The merger of a vocabulary, as sent along with the job or, beside Spark, as it is at the path."""
+    try:
+        sent = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no job runs here
+        sent = path
+    return Merger(sent if os.path.isfile(sent) else path)
 
 
 def with_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, name: str = "n_tokens") -> DataFrame:
@@ -135,6 +181,7 @@ def with_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY,
     schema = StructType([f for f in df.schema.fields if f.name != text] + [StructField(name, IntegerType())])
     arrow = to_arrow_schema(schema)
     others = [f.name for f in df.schema.fields if f.name != text]
+    vocabulary = shipped(df.sparkSession, vocabulary)
 
     def run(batches):
         import pyarrow as pa
