@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .depth import deeply
 from .lexing import JAVA_WORDS, JS_WORDS, PY_WORDS, Lexed
 from .peg import Grammar, Packrat
 
@@ -104,32 +105,6 @@ _STARTS = {
     "js": re.compile(f"{_LEAD}(?={_JS_START}|{_JS_METHOD})|{_JS_START}|(?<=[{{}};,\\nN])(?={_JS_METHOD})"),
     "java": re.compile(f"{_LEAD}(?={_JAVA_START})|(?<=[{{}};\\nN#])(?:{_JAVA_START})|\\A(?:{_JAVA_START})"),
 }
-#: Outcomes of units by the kinds around them, kept while nothing beyond the window was read.
-WINDOWS, REMEMBERED = (*range(8, 72, 3), 90, 120), 300_000
-_UNITS: dict[tuple, tuple] = {}
-_OTHER = re.compile(r"[^#\nN\\s].", re.S)
-
-
-def _unit(p: Packrat, language: str, at: int) -> tuple:
-    """The end of the unit at position `at` (-1: none) and its captures, both relative to `at`."""
-    s = p.s
-    begins, fresh = at == 0 or s[at - 1] in "\nN", language == "py" or _after_statement(p, at)
-    for size in WINDOWS:
-        known = _UNITS.get((language, begins, fresh, s[at : at + size]))
-        if known is not None:
-            return known
-    p.far = at
-    end, found = p.apply("unit", at)
-    known = (end - at if end >= 0 else -1, {c[0]: (c[1] - at, c[2] - at) for c in found})
-    # beyond the furthest terminal only line ends, comments and strings may have been looked at
-    if (m := _OTHER.search(s, p.far + 2)) and len(_UNITS) < REMEMBERED:
-        for size in WINDOWS:
-            if m.end() - at <= size:
-                _UNITS[language, begins, fresh, s[at : at + size]] = known
-                break
-    return known
-
-
 def _comment_text(comments: list[str]) -> list[str]:
     """Lines of the comment that stands directly above: the last block comment, or the last run of line comments."""
     out: list[str] = []
@@ -168,28 +143,28 @@ def extract(text: str, language: str, lexed: Lexed) -> Iterator[tuple[str, int,
     starts = _STARTS[language].search
     while m := starts(s, pos):
         at = m.start()
-        end, caught = _unit(p, language, at)
+        end, found = p.apply("unit", at)
         if end < 0:
             # comments that lead to nothing are passed whole; what they lead to is tried by itself
             pos = max(m.end(), at + 1) if s[at] == "#" else at + 1
             continue
+        caught = {c[0]: (c[1], c[2]) for c in found}
         name_at, name_end = caught["name"]
-        name_at += at
         start = lexed.start(name_at)
         line += text.count("\n", counted, start)
         counted = start
         documentation, source = "", "none"
         if "text" in caught:
             a, b = caught["text"]
-            value = _string(tokens[at + a : at + b])
+            value = _string(tokens[a:b])
             if value is not None:
                 documentation, source = value, "docstring"
         if source == "none" and "doc" in caught:
             a, b = caught["doc"]
-            lines = _comment_text(tokens[at + a : at + b : 2])
+            lines = _comment_text(tokens[a:b:2])
             documentation, source = "\n".join(lines).strip("\n"), "comment"
-        yield tokens[name_at].strip(), line, lexed.start(at), lexed.end(min(at + end, n) - 1), documentation, source
-        pos = at + name_end  # nested functions begin behind the header
+        yield tokens[name_at].strip(), line, lexed.start(at), lexed.end(min(end, n) - 1), documentation, source
+        pos = name_end  # nested functions begin behind the header
 
 
 # ------------------------------------------------------------------ informativeness
@@ -313,7 +288,7 @@ def _each(repo_id, file_path: str, content: str) -> Iterator[tuple]:
     bom = content[0] == "\ufeff"
     lexed = lex(content[1:] if bom else content, ending)
     text = content[1:] if bom else content
-    found = [(*f, why) for f in extract(text, ending, lexed) if not (why := trivial(f[4], f[0]))]
+    found = [(*f, why) for f in deeply(lambda: list(extract(text, ending, lexed)), []) if not (why := trivial(f[4], f[0]))]
     if not found or syntax_errors(ending, text, lexed):
         return
     for name, line, start, end, documentation, source, _ in found:

@@ -104,23 +104,13 @@ class Grammar:
                 lit = fill(x[1:-1])
 
                 def f(p, pos):
-                    end = pos + len(lit)
-                    if end > p.far:
-                        p.far = end
-                    return (end, ()) if p.s.startswith(lit, pos) else FAIL
+                    return (pos + len(lit), ()) if p.s.startswith(lit, pos) else FAIL
             elif kind in (2, 3):
                 rx = re.compile(fill(x if kind == 2 else x[1:-1]), re.S).match
 
                 def f(p, pos):
                     m = rx(p.s, pos)
-                    if m:
-                        end = m.end()
-                        if end > p.far:
-                            p.far = end
-                        return end, ()
-                    if pos > p.far:
-                        p.far = pos
-                    return FAIL
+                    return (m.end(), ()) if m else FAIL
             elif kind == 4:
                 test = self.predicates[x]
                 f = lambda p, pos: (pos, ()) if test(p, pos) else FAIL
@@ -161,10 +151,10 @@ class Grammar:
 
 
 class Packrat:
-    """One parse of the kinds s; ``far`` is the furthest position that a terminal read."""
+    """One parse of the kinds s."""
 
     def __init__(self, grammar: Grammar, s: str):
-        self.g, self.s, self.memo, self.far = grammar.rules, s, {}, 0
+        self.g, self.s, self.memo = grammar.rules, s, {}
 
     def apply(self, rule: str, pos: int) -> Match:
         key = (rule, pos)
