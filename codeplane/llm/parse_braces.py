@@ -10,7 +10,6 @@ from .lexing import Lexed
 _BRACKET = re.compile(r"[()\[\]{}]")
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 REMEMBERED = 300_000
-DEEPEST = 120
 
 
 class Bad(Exception):
@@ -91,7 +90,7 @@ class Cursor:
 
     def list_of(self, each, end: str):
         """Calls each until end or the end of the text; after an error, resumes at the next statement."""
-        deep = self.deep
+        state = self.state()
         while True:
             k = self.s[self.i]
             if k == end or k == "\0":
@@ -101,9 +100,16 @@ class Cursor:
                 each()
             except Bad as e:
                 self.errors.append((e.at, e.why))
-                self.deep = deep
+                self.restore(state)
                 self.panic(max(at, self.i))
 
+    def state(self):
+        """What encloses the cursor, to be restored after an error."""
+        return self.deep
+
+    def restore(self, state):
+        self.deep = state
+
     def panic(self, at: int):
         level = 0
         s, n = self.s, len(self.s) - 1
@@ -142,8 +148,6 @@ class Cursor:
 
     def enter(self):
         self.deep += 1
-        if self.deep > DEEPEST:
-            self.bad("too deeply nested")
 
 
 def strip(kinds: str) -> str:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
+from .depth import deeply
+
 Leaf = tuple[tuple[str, ...], int, int]
 
 
@@ -23,7 +25,6 @@ _J_STRING = re.compile(r'"((?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}
 _J_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.])", re.A)
 _J_WORD = re.compile(r"(?:true|false|null)\b")
 _J_AGAIN = re.compile(r'[\[{"]')
-DEEPEST = 400
 
 
 class Json:
@@ -36,8 +37,6 @@ class Json:
 
     def value(self, path: tuple[str, ...]):
         c = self.ws()
-        if len(path) > DEEPEST:
-            raise Bad(self.i, "too deeply nested")
         if c == "{":
             self.object(path)
         elif c == "[":
@@ -113,7 +112,7 @@ class Json:
         self.entries("]", each)
 
 
-def json_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
+def _json(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
     p = Json(text)
     try:
         p.value(())
@@ -229,8 +228,6 @@ class Toml:
 
     def value(self, path: tuple[str, ...]):
         c = self.ws()
-        if len(path) > DEEPEST:
-            raise Bad(self.i, "too deeply nested")
         t, i = self.t, self.i
         if c == '"':
             m = (_T_BASIC3 if t.startswith('"""', i) else _T_BASIC).match(t, i)
@@ -276,7 +273,7 @@ class Toml:
         self.i = m.end()
 
 
-def toml_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
+def _toml(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
     p = Toml(text[1:] if text[:1] == "\ufeff" else text)
     base: tuple[str, ...] = ()
     n = len(p.t)
@@ -381,8 +378,6 @@ class Yaml:
     def node_at(self, c: int, l: str, path: tuple[str, ...], parent: int):
         """A node that begins at column c of the current line."""
         self.deep += 1
-        if self.deep > 200:
-            raise Bad(self.starts[self.n], "too deeply nested")
         if l[c] == "-" and l[c + 1 : c + 2] in ("", " ", "\t"):
             self.sequence(c, path)
         elif l[c] == "?" and l[c + 1 : c + 2] in ("", " ", "\t") or self.key_end(l, c) >= 0:
@@ -569,8 +564,6 @@ class Yaml:
         i += 1
         n = 0
         self.deep += 1
-        if self.deep > 200:
-            raise Bad(i, "too deeply nested")
 
         def ws(i: int) -> int:
             while i < len(t):
@@ -678,7 +671,7 @@ class Yaml:
                 return
 
 
-def yaml_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
+def _yaml(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
     p = Yaml(text)
     m = re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", p.t)
     if m:
@@ -687,6 +680,18 @@ def yaml_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
     return p.errors, p.leaves
 
 
+def json_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
+    return deeply(lambda: _json(text), ([], []))
+
+
+def toml_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
+    return deeply(lambda: _toml(text), ([], []))
+
+
+def yaml_parse(text: str) -> tuple[list[tuple[int, str]], list[Leaf]]:
+    return deeply(lambda: _yaml(text), ([], []))
+
+
 PARSERS = {"json": json_parse, "toml": toml_parse, "yaml": yaml_parse}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .depth import deeply
 from .lexing import JAVA_WORDS as W
 from .lexing import Lexed, lex
 from .parse_braces import Bad, Cursor, positions, strip
@@ -798,9 +799,13 @@ def check(text: str, lexed: Lexed | None = None) -> list[tuple[int, str]]:
     if text[:1] == "\ufeff":
         text, lexed = text[1:], None
     x = lexed or lex(text, "java")
-    p = Parser(strip(x.kinds))
-    try:
-        p.unit()
-    except (Bad, RecursionError) as e:
-        p.errors.append((getattr(e, "at", 0), getattr(e, "why", "too deeply nested")))
-    return positions(x, text, p.errors)
+
+    def parse() -> list[tuple[int, str]]:
+        p = Parser(strip(x.kinds))
+        try:
+            p.unit()
+        except Bad as e:
+            p.errors.append((e.at, e.why))
+        return p.errors
+
+    return positions(x, text, deeply(parse, []))

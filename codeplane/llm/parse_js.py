@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from .depth import deeply
 from .lexing import JS_WORDS as W
 from .lexing import Lexed, lex
 from .parse_braces import Bad, Cursor, positions, strip
@@ -24,7 +25,15 @@ class Parser(Cursor):
 
     def __init__(self, s: str):
         super().__init__(s)
-        self.functions = 0
+        self.functions = self.loops = self.switches = self.labels = self.methods = self.derived = 0
+        #: Jumps and uses of 'super' so far: statements that hold one are right in some places only.
+        self.bound = 0
+
+    def state(self):
+        return self.deep, self.functions, self.loops, self.switches, self.labels, self.methods, self.derived
+
+    def restore(self, state):
+        self.deep, self.functions, self.loops, self.switches, self.labels, self.methods, self.derived = state
 
     def name(self):
         if self.k not in NAMES:
@@ -266,9 +275,10 @@ class Parser(Cursor):
             self.class_(False)
             return NOT
         if k == W["super"]:
-            self.adv()
-            if self.k not in ".([":
+            self.bound += 1
+            if not self.methods or self.peek() not in ".([" or self.peek() == "(" and not self.derived:
                 self.bad("unexpected 'super'")
+            self.adv()
             return NOT
         if k == W["import"] and self.peek() in "(.":
             self.adv()
@@ -374,16 +384,21 @@ class Parser(Cursor):
             self.name()
 
     def method(self):
+        self.methods += 1
         self.parameters()
         self.body()
+        self.methods -= 1
 
     def body(self):
+        around = self.loops, self.switches, self.labels
+        self.loops = self.switches = self.labels = 0
         self.functions += 1
         self.enter()
         self.take("{")
         self.list_of(self.statement, "}")
         self.functions -= 1
         self.deep -= 1
+        self.loops, self.switches, self.labels = around
         self.take("}")
 
     def function(self, named: bool):
@@ -393,7 +408,11 @@ class Parser(Cursor):
             self.adv()
         elif named:
             self.bad("expected a function name")
-        self.method()
+        around = self.methods, self.derived
+        self.methods = self.derived = 0
+        self.parameters()
+        self.body()
+        self.methods, self.derived = around
 
     def class_(self, named: bool):
         self.take(W["class"])
@@ -401,12 +420,16 @@ class Parser(Cursor):
             self.adv()
         elif named:
             self.bad("expected a class name")
-        if self.word("extends"):
+        derived = self.word("extends")
+        if derived:
             self.postfix()
+        around = self.derived
+        self.derived = int(derived)
         self.take("{")
         self.enter()
         self.list_of(self.class_member, "}")
         self.deep -= 1
+        self.derived = around
         self.take("}")
 
     def class_member(self):
@@ -415,7 +438,12 @@ class Parser(Cursor):
         if self.k == W["static"] and self.peek() not in "(=;}":
             self.adv()
             if self.k == "{":
+                around = self.loops, self.switches, self.labels
+                self.loops = self.switches = self.labels = 0
+                self.methods += 1
                 self.block()
+                self.methods -= 1
+                self.loops, self.switches, self.labels = around
                 return
         if self.k in (W["get"], W["set"], W["async"]) and self.peek() not in "(=;}":
             self.adv()
@@ -426,7 +454,9 @@ class Parser(Cursor):
         else:
             if self.got("="):
                 self.functions += 1
+                self.methods += 1
                 self.assignment()
+                self.methods -= 1
                 self.functions -= 1
             self.semi()
 
@@ -441,11 +471,11 @@ class Parser(Cursor):
     def statement(self):
         if (self.functions or self.k != W["return"]) and self.statement_known():
             return
-        start = self.i
+        start, bound = self.i, self.bound
         self.enter()
         self.statement_()
         self.deep -= 1
-        if self.functions:
+        if self.functions and self.bound == bound:
             self.remember(start)
 
     def statement_(self):
@@ -468,7 +498,9 @@ class Parser(Cursor):
         if k in NAMES and self.peek() == ":":
             self.adv()
             self.adv()
+            self.labels += 1
             self.statement()
+            self.labels -= 1
             return
         self.expression()
         self.semi()
@@ -528,16 +560,26 @@ class Parser(Cursor):
             if self.k != ")":
                 self.expression()
         self.take(")")
+        self.looped()
+
+    def looped(self):
+        self.loops += 1
         self.statement()
+        self.loops -= 1
 
     def while_(self):
+        self.adv()
+        self.condition()
+        self.looped()
+
+    def with_(self):
         self.adv()
         self.condition()
         self.statement()
 
     def do_(self):
         self.adv()
-        self.statement()
+        self.looped()
         self.take(W["while"])
         self.condition()
         self.got(";")
@@ -553,11 +595,20 @@ class Parser(Cursor):
         self.semi()
 
     def jump_(self):
+        k = self.k
+        self.bound += 1
+        labelled = self.peek() in NAMES and self.s[self.i + 1] != "\n"
+        if not (self.labels if labelled else self.loops or k == W["break"] and self.switches):
+            self.bad("a jump that nothing encloses")
         self.adv()
-        if not self.nl and self.k in NAMES:
+        if labelled:
             self.adv()
         self.semi()
 
+    def debugger_(self):
+        self.adv()
+        self.semi()
+
     def throw_(self):
         self.adv()
         if self.nl:
@@ -585,6 +636,7 @@ class Parser(Cursor):
         self.condition()
         self.take("{")
         self.enter()
+        self.switches += 1
         while self.k != "}":
             if self.word("case"):
                 self.expression()
@@ -595,6 +647,7 @@ class Parser(Cursor):
                 self.statement()
             if self.k == "\0":
                 break
+        self.switches -= 1
         self.deep -= 1
         self.take("}")
 
@@ -694,11 +747,11 @@ _STATEMENTS = {
     W["return"]: Parser.return_,
     W["break"]: Parser.jump_,
     W["continue"]: Parser.jump_,
-    W["debugger"]: Parser.jump_,
+    W["debugger"]: Parser.debugger_,
     W["throw"]: Parser.throw_,
     W["try"]: Parser.try_,
     W["switch"]: Parser.switch_,
-    W["with"]: Parser.while_,
+    W["with"]: Parser.with_,
     W["function"]: lambda p: p.function(True),
     W["class"]: lambda p: p.class_(True),
     W["export"]: Parser.export_,
@@ -710,7 +763,7 @@ _HOLE = re.compile(r"\$\{")
 @lru_cache(maxsize=100_000)
 def _hole(kinds: str) -> str:
     p = Parser(kinds)
-    p.functions = 1
+    p.functions = p.methods = p.derived = 1  # what encloses the template was parsed apart from it
     try:
         p.expression()
         return "" if p.k == "\0" else "unexpected token in a template"
@@ -727,7 +780,7 @@ def _template(token: str) -> str:
             level += c == "{"
             level -= c == "}"
             j += 1
-        if token[i - 1 : i] != "\\" and (why := _hole(strip(lex(token[i + 2 : j - 1], "js").kinds))):
+        if token[i - 1 : i] != "\\" and (why := deeply(lambda: _hole(strip(lex(token[i + 2 : j - 1], "js").kinds)), "")):
             return why
         i = j
     return ""
@@ -738,12 +791,16 @@ def check(text: str, lexed: Lexed | None = None) -> list[tuple[int, str]]:
     if text[:2] == "#!":
         text, lexed = "//" + text[2:], None
     x = lexed or lex(text, "js")
-    p = Parser(strip(x.kinds))
-    try:
-        p.program()
-    except (Bad, RecursionError) as e:
-        p.errors.append((getattr(e, "at", 0), getattr(e, "why", "too deeply nested")))
-    out = positions(x, text, p.errors)
+
+    def parse() -> list[tuple[int, str]]:
+        p = Parser(strip(x.kinds))
+        try:
+            p.program()
+        except Bad as e:
+            p.errors.append((e.at, e.why))
+        return p.errors
+
+    out = positions(x, text, deeply(parse, []))
     if "t" in x.kinds:
         for n, t in enumerate(x.tokens):
             if x.kinds[n] == "t" and "${" in t and (why := _template(t)):

@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from functools import lru_cache
 
+from .depth import deeply
 from .lexing import PY_WORDS as W
 from .lexing import Lexed, lex
 
@@ -168,8 +169,6 @@ class Line:
     def primary(self) -> int:
         s = self.s
         self.deep += 1
-        if self.deep > 90:
-            self.bad("too deeply nested")
         k = s[self.i]
         if k in NAMES:
             self.i += 1
@@ -793,6 +792,10 @@ def _remember(raw: str, outcome: tuple):
 
 def check(text: str, lexed: Lexed | None = None) -> list[tuple[int, str]]:
     """All syntax errors as (line, what), in order of line; an empty list for a valid file."""
+    return deeply(lambda: _check(text, lexed), [])
+
+
+def _check(text: str, lexed: Lexed | None) -> list[tuple[int, str]]:
     if text[:1] == "\ufeff":
         text, lexed = text[1:], None
     if "\0" in text:

@@ -48,9 +48,7 @@ def _python_accepts(text: str) -> bool:
         try:
             ast.parse(text)
             return True
-        except RecursionError:
-            return True
-        except (SyntaxError, ValueError, MemoryError):
+        except (SyntaxError, ValueError, MemoryError, RecursionError):
             return False
 
 
