@@ -51,8 +51,7 @@ def _automaton():
     try:
         import ahocorasick
     except ImportError:
-        found = re.compile("|".join(map(re.escape, sorted(NOTICES, key=len, reverse=True))))
-        return lambda text: {NOTICES[m[0]] for m in found.finditer(text)} | {k for n, k in NOTICES.items() if k == "not" and n in text}
+        return lambda text: {kind for notice, kind in NOTICES.items() if notice in text}
     automaton = ahocorasick.Automaton()
     for notice, kind in NOTICES.items():
         automaton.add_word(notice, kind)
@@ -69,7 +68,6 @@ def header(text: str) -> list[str]:
     at, n = 0, len(text)
     quote = ""
     block = False
-    skipped = 0
     while at < n:
         end = text.find("\n", at)
         end = n if end < 0 else end
@@ -98,8 +96,7 @@ def header(text: str) -> list[str]:
                 break
         elif line[0] == "#" or line.startswith(("//", "--", ";", "<!--", "%")):
             out[-1].append(line)
-        elif line.startswith(("package ", "import ", "from __future__", "'use strict'", '"use strict"', "@")) and skipped < 40:
-            skipped += 1
+        elif line.startswith(("package ", "import ", "from __future__", "'use strict'", '"use strict"', "@")):
             out.append([line] if line[0] == "@" else [])
         else:
             break

@@ -38,12 +38,17 @@ NO_SECRET = re.compile(
 )
 PLACEHOLDER = re.compile(
     r"change[ _-]?me|replace[ _-]?(?:me|this|with)|your[ _-]|<[^>]*>|\*{3,}|x{4,}|\.{3}|example|sample|dummy|fake|placeholder|redacted|to[ _-]?do|fix[ _-]?me|insert|fill[ _-]?in|"
-    r"\$\{|\$\(|\$[A-Z_]{2,}|\{\{|%\(|%[A-Z_]+%|\{[a-z_.\[\]\"']*\}|^env:|^vault|^file:|^ref:|^arn:|^ssm:|^secretsmanager|^op://|^enc[\[(:]|^!vault|process\.env|os\.environ|getenv|"
+    r"\$\{|\$\(|^\$[A-Z_]\w*$|(?-i:(?:^|[\s:/@=,;-])\$[A-Z_][A-Z0-9_]{2,}|%[A-Z_]{3,}%)|\{\{|%\(|\{[a-z_.\[\]\"']*\}|^env:|^vault|^file:|^ref:|^arn:|^ssm:|^secretsmanager|^op://|^enc[\[(:]|^!vault|process\.env|os\.environ|getenv|"
     r"^(?:none|null|nil|true|false|undefined|default|secret|password|token|test|unset|empty|nothing)$|^(.)\1+$|^\W*$|^0+$|12345678|abcdef|qwerty(?:uiop)?$|lorem|not[ _-]?(?:a[ _-]?)?(?:real|secret)|not[ _-]set",
     re.I,
 )
 HASHED = re.compile(r"^(?:\$(?:2[abxy]|1|5|6|argon2\w*|scrypt|pbkdf2\S*)\$|sha\d+[-:]|md5[-:]|\{(?:ssha|sha|crypt|md5)\w*\}|pbkdf2_|bcrypt|scrypt:|urn:|git\+|ssh-(?:rsa|ed25519|dss) |ecdsa-)", re.I)
-MARKED = re.compile(r"made[- ]up|(?<![\w.@-])examples?\b(?!\.\w)|\bdummy\b|\bfake\b|(?<![\w.@-])sample\b|placeholder|not (?:a )?real|not (?:a )?secret|fictional|invented|for illustration|shown in the help", re.I)
+#: What says of a credential that it is none: an example, sample, dummy and the like of a value, or as the last word on it; a 'sample rate' says nothing.
+MARKED = re.compile(
+    r"made[- ]up|not (?:a )?(?:real|secret|valid)\b|fictional|invented|for illustration|shown in the help|(?:for|as an?|an|an? mere|just an?|only an?)\s+(?:example|sample|dummy|fake|placeholder)s?\b|"
+    r"(?<![\w.@/-])(?:examples?|samples?|dummy|fake|placeholder)\b(?!\.\w)(?=\W*$|\s*[:,;)]|\s+(?:\w+\s+)?(?:api|access|secret|private)?[ _-]?(?:keys?|passwords?|passwd|secrets?|tokens?|credentials?|creds|logins?|values?|only|config(?:uration)?|usage|data)\b)",
+    re.I,
+)
 #: Tokens whose issuer is plain from their form.
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{20,}|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{24,}|"
@@ -55,7 +60,7 @@ PEM_BODY = re.compile(r"(?:\s|\\n|\\r|[\"'+,\\]|[#*/;>| ])*([A-Za-z0-9+/=]{20,})
 URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,30}://([^\s:/@'\"<>`]*):([^\s/@'\"<>`]+)@[\w\[.-]", re.I)
 HINTS = (
     "pass pw secret token key cred login auth bearer basic :// -----begin akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- _live_ _prod_ _test_ sg. eyj xox aiza npm_ pypi- jdbc dsn salt cookie session".split()
-    + ["log in", "logs in", "sign in", "signs in", "signed in"]
+    + ["log in", "logs in", "sign in", "signs in", "signed in", " -u", "--user", "--proxy-user"]
 )
 
 
@@ -65,8 +70,8 @@ def _hints():
     try:
         import ahocorasick
     except ImportError:
-        found = re.compile("|".join(map(re.escape, HINTS)))
-        return lambda lower: (m.end() - 1 for m in found.finditer(lower))
+        each = [re.compile(re.escape(h)).finditer for h in HINTS]
+        return lambda lower: sorted(m.end() - 1 for find in each for m in find(lower))
     automaton = ahocorasick.Automaton()
     for h in HINTS:
         automaton.add_word(h, h)
@@ -135,6 +140,8 @@ BASIC = re.compile(r"\bbasic\s+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])", re.
 HEADER = re.compile(r"(?:x-[a-z-]*(?:key|token)|authorization|api-key|private-token)[\"']?\s*[:=,]\s*[\"']?(?:(?:bearer|token|apikey)\s+)?([^\s\"'`,;)\\]{8,})", re.I)
 SCHEME = re.compile(r"[\"'`:=]\s*(?:bearer|token)\s+([^\s\"'`,;)\\]{8,})", re.I)
 OPTION = re.compile(r"--?(?:[a-z-]*password|[a-z-]*passwd|[a-z-]*token|[a-z-]*secret|[a-z-]*api-key|pass)(?:=|\s+)[\"']?([^\s\"'`;|&<>]{6,})", re.I)
+#: curl -u user:value
+USER = re.compile(r"(?<!\S)(?:-u|--user|--proxy-user)(?:[ \t]+|=|(?<=-u))[\"']?[^\s:\"'<>{}$]+:([^\s\"'`;|&<>]{6,})")
 SHELL = re.compile(r"^[ \t]*(?:[#;][ \t]*)?(?:export[ \t]+|set[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*=[ \t]*(?![\"'\s])([^\s#;]+)[ \t]*(?:#.*)?$")
 NETRC = re.compile(r"(?<!\S)password\s+(\S+)")
 REMARK = re.compile(r"(?:^|\s)(?:\#|//|/\*|\*(?!\w)|;|--\s|<!--|\"\"\")")
@@ -199,7 +206,7 @@ def _line(text: str, a: int, b: int, shell: bool) -> Iterator[Finding]:
         start, end, value = _value(m, 1)
         if secret_like(value, True) and _classes(value) >= 3:
             yield Finding(start, end, "login", "connect")
-    for m in (*HEADER.finditer(line), *SCHEME.finditer(line), *OPTION.finditer(line)):
+    for m in (*HEADER.finditer(line), *SCHEME.finditer(line), *OPTION.finditer(line), *USER.finditer(line)):
         if secret_like(m[1], True):
             yield Finding(a + m.start(1), a + m.end(1), "header", "")
     if shell:
@@ -292,7 +299,7 @@ def find(text: str, ending: str) -> list[Finding]:
         b = n if b < 0 else b
         stop = b - (b > a and text[b - 1] == "\r")
         line = text[a:stop]
-        if not MARKED.search(line) or ISSUED.search(line) and not re.search(r"(?i)made[- ]up|(?<![\w.@-])examples?\b|dummy|fake|not real|placeholder|fictional", line):
+        if not MARKED.search(line):
             found += _line(text, a, stop, shell)
         at = b + 1
     if not found:
