@@ -33,7 +33,7 @@ NOTICES = {
     "managed by the dependency resolver": "lock", "this file is generated by poetry": "lock", "yarn lockfile": "lock", "this lock file": "lock", "pinned dependencies, resolved": "lock",
     "not generated": "not", "not auto-generated": "not", "not autogenerated": "not", "no longer generated": "not", "not vendored": "not", "not copied": "not", "never generated": "not", "used to be generated": "not",
     "maintained by hand": "not", "edit this by hand": "not", "edited by hand": "not", "written by hand": "not", "hand-written": "not", "handwritten": "not", "hand-maintained": "not", "nicht generiert": "not", "nicht erzeugt": "not",
-    "at run time": "not", "at runtime": "not", "no longer vendored": "not", "began life as": "not", "originally generated": "not", "generator is gone": "not", "safe to edit": "not", "feel free to edit": "not",
+    "at run time": "not", "at runtime": "not", "no longer vendored": "not", "originally generated": "not", "safe to edit": "not",
 }
 VENDORED = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|third[_-]?party|vendor|vendors|_vendor|_vendored|vendored|extern|externals|deps|contrib/upstream|Pods|Carthage|Godeps)/")
 LOCK_NAME = re.compile(
@@ -121,13 +121,40 @@ def notices(text: str) -> set[str]:
     return said
 
 
-#: What code generators and bundlers leave in their output, whatever its header says.
-EMITTED = re.compile(
-    r"^_lr_(?:method|signature|action_items)\b|^DESCRIPTOR\s*=\s*_descriptor|_descriptor\.FileDescriptor|^# snapshottest:|^// Jest Snapshot v|\bvar __(?:assign|extends|awaiter|decorate|importDefault|createBinding|rest|spreadArray)\b\s*=\s*\(?this\b|"
-    r"__webpack_require__|webpackBootstrap|_interopRequire(?:Default|Wildcard)|^//# sourceMappingURL=|Object\.defineProperty\(exports, [\"']__esModule[\"']|^# source: [\w./-]+\.(?:proto|wire|thrift|fbs|avsc|idl|capnp)\s*$|"
-    r"^# Generated by the gRPC|^/\* A Bison parser|^/\* parser generated by|^%%\{?init|^// Code generated .* DO NOT EDIT",
-    re.M,
-)
+#: What code generators and bundlers leave in their output, whatever its header says; True where it begins a line.
+MARKS = {
+    "_lr_method": True, "_lr_signature": True, "_lr_action_items": True, "DESCRIPTOR = _descriptor": True, "DESCRIPTOR=_descriptor": True, "_descriptor.FileDescriptor": False, "# snapshottest:": True, "// Jest Snapshot v": True,
+    **{f"var __{name}{gap}{of}": False for name in ("assign", "extends", "awaiter", "decorate", "importDefault", "createBinding", "rest", "spreadArray") for gap in (" = ", "=") for of in ("(this", "this")},
+    "__webpack_require__": False, "webpackBootstrap": False, "_interopRequireDefault": False, "_interopRequireWildcard": False, "//# sourceMappingURL=": True, 'Object.defineProperty(exports, "__esModule"': False, "Object.defineProperty(exports, '__esModule'": False,
+    "# source: ": True, "# Generated by the gRPC": True, "/* A Bison parser": True, "/* parser generated by": True, "%%{init": True, "%{init": True, "// Code generated ": True,
+}
+#: What must follow a mark on its line.
+FOLLOWS = {"# source: ": re.compile(r"[\w./-]+\.(?:proto|wire|thrift|fbs|avsc|idl|capnp)[ \t\r]*$", re.M), "// Code generated ": re.compile(r".* DO NOT EDIT"), "_lr_method": re.compile(r"\b"), "_lr_signature": re.compile(r"\b"), "_lr_action_items": re.compile(r"\b")}
+
+
+@lru_cache(maxsize=1)
+def _marks():
+    """A function from a text to the ends of the marks in it, with the marks."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: ((m.end() - 1, mark) for mark in MARKS for m in re.finditer(re.escape(mark), text))
+    automaton = ahocorasick.Automaton()
+    for mark in MARKS:
+        automaton.add_word(mark, mark)
+    automaton.make_automaton()
+    return automaton.iter
+
+
+def marked(text: str) -> bool:
+    """Whether a generator or bundler left its mark anywhere in the text; one pass of the automaton over the whole text."""
+    for end, mark in _marks()(text):
+        start = end + 1 - len(mark)
+        if (not MARKS[mark] or start == 0 or text[start - 1] == "\n") and (mark not in FOLLOWS or FOLLOWS[mark].match(text, end + 1)):
+            return True
+    return False
+
+
 LOCK_CONTENT = re.compile(r"\"lockfileVersion\"|\"integrity\"\s*:|\[\[package\]\]|^\s*(?:hash|checksum|integrity|resolved)\s*[:=]|^h1:|\"(?:content-hash|resolved|dist)\"\s*:|--hash=sha256:", re.M)
 CODE = {"py", "pyi", "js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "go", "rb", "c", "h", "cc", "cpp", "cs", "php", "css", "rs", "kt", "scala", "swift", "lua", "r", "pl"}
 _WORD = re.compile(r"[^\W\d]\w*")
@@ -189,7 +216,7 @@ def classify(path: str, text: str) -> tuple[str, str]:
         return "lock", "name" if "lock" not in said else "notice"
     if ending not in CODE:
         return "", ""
-    if EMITTED.search(text):
+    if marked(text):
         return "tool", "marks"
     kind = texture(text)
     if kind == "repetitive":
