@@ -25,11 +25,12 @@ def distinct_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
     """One row per (repo_id, clean file_path, ord) with the latest values of ``columns``.
 
     Rows without a path name no file and are left out.  Of repeated rows the one with the latest
-    indexed_at counts (ties: the greatest content), a null time is the earliest.
+    indexed_at counts (ties: the greatest hash of the content, as in files()), a null time is the earliest.
+    Only the columns asked for and the hash are shuffled; ``version`` may stand for it, where content is no longer whole.
     """
     rest = [c for c in columns if c not in ("repo_id", "file_path", "ord")]
-    order = [c for c in ("indexed_at", "content") if c in chunks.columns]
-    rows = chunks.select("repo_id", clean_path(F.col("file_path")).alias("file_path"), "ord", F.struct(*order, *[c for c in rest if c not in order]).alias("row")).where("file_path IS NOT NULL")
+    hashed = F.col("version") if "version" in chunks.columns else F.xxhash64("content")
+    rows = chunks.select("repo_id", clean_path(F.col("file_path")).alias("file_path"), "ord", F.struct("indexed_at", hashed.alias("__h"), *[c for c in rest if c != "indexed_at"]).alias("row")).where("file_path IS NOT NULL")
     last = rows.groupBy("repo_id", "file_path", "ord").agg(F.max("row").alias("row"))
     return last.select("repo_id", "file_path", "ord", *[F.col(f"row.{c}").alias(c) for c in rest])
 
@@ -38,13 +39,13 @@ def files(chunks: DataFrame, endings: Iterable[str] | None = None) -> DataFrame:
     """(repo_id, file_path, content): one row per file.
 
     A file's text is the contents of its chunks in order of ord, joined by line ends; a repeated ord
-    counts once, with its latest content, and a null content is an empty one.  Only the chunks of one
+    counts once, with its latest content (ties: the greatest hash), and a null content is an empty one.  Only the chunks of one
     file meet in a task, so a repository of any size is spread over all of them.
     """
-    rows = chunks.select("repo_id", clean_path(F.col("file_path")).alias("file_path"), "ord", "indexed_at", F.coalesce("content", F.lit("")).alias("content")).where("file_path IS NOT NULL")
+    rows = chunks.select("repo_id", clean_path(F.col("file_path")).alias("file_path"), "ord", "indexed_at", F.xxhash64("content").alias("version"), F.coalesce("content", F.lit("")).alias("content")).where("file_path IS NOT NULL")
     if endings is not None:
         rows = rows.where(F.col("file_path").rlike(r"\.(?:" + "|".join(endings) + r")$"))
-    parts = rows.groupBy("repo_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("ord", "indexed_at", "content"))).alias("parts"))
+    parts = rows.groupBy("repo_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("ord", "indexed_at", "version", "content"))).alias("parts"))
     single = F.size("parts") == 1
     kept = F.filter("parts", lambda x, i: (i == F.size("parts") - 1) | ~F.get(F.col("parts.ord"), i + 1).eqNullSafe(x["ord"]))
     text = F.when(single, F.col("parts")[0]["content"]).otherwise(F.array_join(F.transform(kept, lambda x: x["content"]), "\n"))

@@ -96,9 +96,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _P4 = r"""
-SELECT DISTINCT repo_id, regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '') AS file_path, ord
-FROM chunks
-WHERE len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) > (SELECT min(max_tokens) FROM size_limits WHERE purpose = 'chunk_split')
+WITH latest AS (
+    SELECT repo_id, file_path, ord, content FROM (
+        SELECT repo_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') AS file_path, ord, content, indexed_at FROM chunks WHERE file_path IS NOT NULL
+    ) QUALIFY row_number() OVER (PARTITION BY repo_id, file_path, ord ORDER BY indexed_at DESC NULLS LAST) = 1
+)
+SELECT repo_id, file_path, ord
+FROM latest
+WHERE len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')) > (SELECT min(max_tokens) FROM size_limits WHERE purpose = 'chunk_split')
 """
 
 

@@ -38,13 +38,14 @@ def boundary(text: str, end: int, start: int) -> int:
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, units) of each piece; piece n+1 repeats the last `overlap` units of piece n.
 
-    What follows the overlaps, joined, is the text.  One piece if the text is within the limit.
+    What follows the overlaps, joined, is the text.  One piece if the text is within the limit.  An overlap
+    of the limit or more would leave no room for anything new: it is limit - 1 then.
     """
     spans = [m.span() for m in _UNIT.finditer(text)]
     n = len(spans)
     if n <= limit:
         return [(0, len(text), n)]
-    overlap = max(0, min(overlap or 0, limit // 2))
+    overlap = max(0, min(overlap or 0, limit - 1))
     room = limit - overlap
     level = [SECTION, *(boundary(text, spans[i - 1][1], spans[i][0]) for i in range(1, n))]
 
@@ -92,13 +93,15 @@ def _each(repo_id, path, ord_, text, start_line, limit, overlap) -> Iterator[tup
 def split_oversized(chunks: DataFrame, limits: DataFrame, purpose: str = "chunk_split") -> DataFrame:
     """The pieces of every chunk whose content holds more units than the purpose allows.
 
-    Repeated rows count once; a null content holds none; a null overlap is 0; without a limit for the
-    purpose there are no rows.  Contents within the limit don't leave the JVM.
+    Of repeated rows the latest counts, the same as in files(), whether or not an earlier one was larger; a null
+    content holds none; a null overlap is 0; without a limit for the purpose there are no rows.  Contents
+    within the limit are counted where they are read and are not shuffled.
     """
     limit = limits.where(F.col("purpose") == purpose).agg(F.min("max_tokens").alias("limit"), F.max("overlap_tokens").alias("overlap"))
-    counted = chunks.join(F.broadcast(limit), F.length("content") > F.col("limit"))
-    large = counted.where(F.regexp_count("content", F.lit(UNIT)) > F.col("limit"))
-    rows = distinct_chunks(large, "content", "start_line", "limit", "overlap").select("repo_id", "file_path", "ord", "content", "start_line", F.col("limit").cast("int"), F.col("overlap").cast("int"))
+    large = (F.length("content") > F.col("limit")) & (F.regexp_count("content", F.lit(UNIT)) > F.col("limit"))
+    counted = chunks.select("repo_id", "file_path", "ord", "indexed_at", "start_line", "content", F.xxhash64("content").alias("version")).join(F.broadcast(limit))
+    rows = distinct_chunks(counted.withColumn("content", F.when(large, F.col("content"))), "content", "start_line", "limit", "overlap").where("content IS NOT NULL")
+    rows = rows.select("repo_id", "file_path", "ord", "content", "start_line", F.col("limit").cast("int"), F.col("overlap").cast("int"))
     return map_rows(rows, _each, "repo_id INT, file_path STRING, ord INT, piece INT, n_pieces INT, n_units INT, start INT, end INT, start_line INT, end_line INT, content STRING")
 
 
