@@ -111,25 +111,22 @@ def spans(blocks: DataFrame, limit: int = 500) -> DataFrame:
     return blocks.groupBy("repo_id", "file_path").applyInPandas(run, "repo_id INT, file_path STRING, block INT, span_id STRING")
 
 
-def expanded_context(spans: DataFrame, limit: int, group: list[str]) -> DataFrame:
-    """Spans from the largest down while their sum stays within the limit; those that don't fit are passed over.
+def expanded_context(context: DataFrame, related: DataFrame, spans: DataFrame, limit: int, group: list[str]) -> DataFrame:
+    """Spans that those of a context draw in, until one does not fit.
 
-    spans(group.., span_id, tokens). A fold per group.
+    context(group.., span_id, tokens), related(group.., span_id, related), spans(group.., span_id, tokens). Spans of the
+    context are taken from the largest down and their related ones in order; one that is there already is passed over.
+    A span fits if the greater of its tokens and those of the span that draws it stays, with all there is, within the
+    limit; with the first that does not, the group ends. A context over the limit draws in nothing.
     """
-    kinds = dict(spans.dtypes)
-
-    def run(frame):
-        kept, used = [], 0
-        for _, s in frame.sort_values(["tokens", "span_id"], ascending=[False, True]).iterrows():
-            if used + s["tokens"] <= limit:
-                used += int(s["tokens"])
-                kept.append(s)
-        import pandas as pd
-
-        return pd.DataFrame(kept, columns=frame.columns)
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in spans.columns)
-    return spans.groupBy(*group).applyInPandas(run, schema)
+    size = context.groupBy(*group).agg(F.sum("tokens").alias("__size")).where(F.col("__size") <= limit)
+    x = context.select(*group, F.col("span_id").alias("__via"), F.col("tokens").alias("__of")).join(related.select(*group, F.col("span_id").alias("__via"), F.col("related").alias("span_id")), [*group, "__via"])
+    x = x.join(context.select(*group, "span_id"), [*group, "span_id"], "left_anti").join(spans.select(*group, "span_id", "tokens"), [*group, "span_id"]).join(size, group)
+    x = x.groupBy(*group, "span_id", "tokens", "__size").agg(F.min(F.struct((-F.col("__of")).alias("o"), F.col("__via"))).alias("__by"))
+    so_far = Window.partitionBy(*group).orderBy("__by.o", "__by.__via", "span_id")
+    x = x.withColumn("__added", F.coalesce(F.sum("tokens").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    fits = F.greatest(F.col("tokens"), -F.col("__by.o")) + F.col("__size") + F.col("__added") <= limit
+    return x.withColumn("__fits", F.every(fits).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("__fits").select(*group, "span_id", "tokens")
 
 
 def concatenated(chunks: DataFrame, group: list[str], order: list[str], text: str = "content", separator: str = "\n") -> DataFrame:

@@ -8,13 +8,34 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
+import threading
 import warnings
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def whole(each: Callable[..., Iterator[tuple]], *row) -> list[tuple]:
+    """All that ``each`` yields for a row; a file nested too deeply for the usual stack is read on a larger one, never in part."""
+    try:
+        return list(each(*row))
+    except RecursionError:
+        pass
+    out: list = []
+    frames, stack = sys.getrecursionlimit(), threading.stack_size(512 << 20)
+    sys.setrecursionlimit(max(frames, 400_000))
+    try:
+        t = threading.Thread(target=lambda: out.extend(each(*row)))
+        t.start()
+        t.join()
+    finally:
+        threading.stack_size(stack)
+        sys.setrecursionlimit(frames)
+    return out
+
+
 def map_files(files: DataFrame, each: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
     """Rows that ``each(repo_id, file_path, content)`` yields, a slice of files at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,7 +50,7 @@ def map_files(files: DataFrame, each: Callable[..., Iterator[tuple]], schema: st
             for at in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
                 for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    out.extend(each(*row))
+                    out.extend(whole(each, *row))
                 if out:
                     yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, map(list, zip(*out)))), schema=arrow)
 
@@ -122,10 +143,7 @@ def _blocks(repo_id, path, text) -> Iterator[tuple]:
             yield repo_id, path, own, parent, type_, identifier, full, start, child.end_lineno, params, [{"kind": k, "target": v} for k, v in refs], duplicate
             yield from visit(child, own, full, isinstance(child, ast.ClassDef))
 
-    try:
-        yield from visit(tree, 0, "", False)
-    except RecursionError:
-        return
+    yield from visit(tree, 0, "", False)
 
 
 def blocks(files: DataFrame) -> DataFrame:
@@ -207,10 +225,7 @@ def _captures(repo_id, path, text) -> Iterator[tuple]:
                 add("call", "call", name, node)
             self.generic_visit(node)
 
-    try:
-        Visit().visit(tree)
-    except RecursionError:
-        return
+    Visit().visit(tree)
     for n, (row, col, kind, sub, name, end) in enumerate(sorted(out, key=lambda x: (x[0], x[1], -x[5])), 1):
         yield repo_id, path, n, kind, sub, name, row, end, col
 
@@ -261,13 +276,14 @@ def hunks(patches: DataFrame, keys: list[str], text: str = "content") -> DataFra
     """(keys, file, start, end) of the hunks of unified diffs.
 
     A hunk's lines are trimmed by its context: start = old start + max(1, min(3, old start - 3)), end = start + max(0, old length - 7).
-    Headers without lengths are skipped.
+    Headers without lengths are skipped.  'diff --git' names the file of all that follows; '--- a/' does so only as
+    long as nothing has named one, so the hunks of a new file are its own.
     """
-    from .ordered import carried
-
     lines = numbered_lines(patches.select(*keys, text), text)
-    lines = lines.withColumn("f", F.when(F.col("line").startswith("--- a/"), F.substring("line", 7, 1_000_000)))
-    named = carried(lines, keys, ["line_no"], "f", "file")
+    git, minus = r"^diff --git a/(.+) b/.+", r"^--- a/(.+)"
+    so_far = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = lambda header: F.nullif(F.regexp_extract("line", header, 1), F.lit(""))
+    named = lines.withColumn("file", F.coalesce(F.last(of(git), True).over(so_far), F.first(of(minus), True).over(so_far))).where("file IS NOT NULL")
     m = F.regexp_extract
     header = r"^@@ -(\d+),(\d+) \+(\d+),(\d+) @@"
     h = named.where(F.col("line").rlike(header)).withColumn("a", m("line", header, 1).cast("int")).withColumn("n", m("line", header, 2).cast("int"))

@@ -11,6 +11,22 @@ def ordinals(rows: DataFrame, group: list[str], order: list[str], name: str = "n
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def numbered(rows: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """1-based place of each row among all in a total order: one sort by range, and the sizes of its partitions as offsets."""
+    from .graphs import checkpointed
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = F.lit(1 << 33)
+    ranged = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__p", F.floor(F.col("__m") / cut).cast("int")).withColumn("__r", F.col("__m") % cut)
+    offsets, total = [], 0
+    for p, n in sorted(ranged.groupBy("__p").count().collect()):
+        offsets.append((p, total))
+        total += n
+    known = rows.sparkSession.createDataFrame(offsets, "__p INT, __o BIGINT")
+    return ranged.join(F.broadcast(known), "__p").select(*rows.columns, (F.col("__o") + F.col("__r") + 1).alias(name))
+
+
 def closeness_chunks(members: DataFrame, window: int = 3) -> DataFrame:
     """Per cluster the share of consecutive members whose indexes lie within the window (F2). members(cluster_id, pos, idx)."""
     w = Window.partitionBy("cluster_id").orderBy("pos")
@@ -25,14 +41,15 @@ def with_prefix_bytes(inputs: DataFrame, group: list[str], idx: str = "idx", siz
 
 
 def closeness_bytes(members: DataFrame, limit: int = 1000) -> DataFrame:
-    """Per cluster the share of forward steps that skip at most ``limit`` bytes.
+    """Per cluster the share of members that follow their anchor within ``limit`` bytes.
 
     members(cluster_id, pos, idx, before, bytes): a step backwards counts for nothing and leaves the anchor where it is,
-    so the anchor is the greatest index so far; the bytes between are those from the anchor's end to this one's start.
+    so the anchor is the greatest index so far; the bytes are those from the anchor's start, its own included, to this
+    one's start, and a repeated index counts.
     """
     w = Window.partitionBy("cluster_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    anchor = F.max(F.struct("idx", (F.col("before") + F.col("bytes")).alias("end"))).over(w)
-    x = members.withColumn("anchor", anchor).withColumn("ok", (F.col("idx") > F.col("anchor.idx")) & (F.col("before") - F.col("anchor.end") <= limit))
+    anchor = F.max(F.struct("idx", "before")).over(w)
+    x = members.withColumn("anchor", anchor).withColumn("ok", (F.col("idx") >= F.col("anchor.idx")) & (F.col("before") - F.col("anchor.before") <= limit))
     return x.groupBy("cluster_id").agg((F.count_if("ok") / F.count("*")).alias("closeness"))
 
 

@@ -11,8 +11,12 @@ from .graphs import checkpointed
 
 
 def patch_spans(hunks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans whose lines a patch's hunks share, per patch and file (N24). hunks(keys.., file, start, end), spans(file, span_id, s, e)."""
-    hit = hunks.join(spans, "file").where((F.col("s") <= F.col("end")) & (F.col("e") >= F.col("start")))
+    """Spans whose lines a patch's hunks share, per patch and file.
+
+    hunks(keys.., file, start, end), spans(file, span_id, s, e) and, where files of several repositories may be called
+    alike, a repo_id in both, which is part of the key.
+    """
+    hit = hunks.join(spans, [c for c in ("repo_id", "file") if c in hunks.columns and c in spans.columns]).where((F.col("s") <= F.col("end")) & (F.col("e") >= F.col("start")))
     return hit.groupBy(*keys, "file").agg(F.sort_array(F.collect_set("span_id")).alias("spans"))
 
 

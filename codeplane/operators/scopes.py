@@ -95,15 +95,28 @@ def exports(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'def' AND sub IN ('function', 'class') AND scope_id = 0").select(*FILE, "ord", "name", "sub").distinct()
 
 
+def import_exports(imports: DataFrame, exported: DataFrame) -> DataFrame:
+    """Imports with the definition that they name (N11): repo_id, file_path, name, target, def_ord.
+
+    imports(repo_id, file_path, name, target), exported(repo_id, file_path, name, ord). Where the target is a package's
+    '__init__.py', a name that it does not define itself is looked up once more in the files it imports it from.
+    """
+    i = imports.where("target IS NOT NULL").select("repo_id", "file_path", "name", "target").distinct()
+    e = exported.select("repo_id", F.col("file_path").alias("target"), "name", F.col("ord").alias("def_ord"))
+    direct = i.join(e, ["repo_id", "target", "name"])
+    passed = i.where(F.col("target").endswith("__init__.py")).join(direct.select("repo_id", "target", "name").distinct(), ["repo_id", "target", "name"], "left_anti")
+    inner = i.where(F.col("file_path").endswith("__init__.py")).select("repo_id", F.col("file_path").alias("via"), "name", F.col("target").alias("inner"))
+    once = passed.withColumnRenamed("target", "via").join(inner, ["repo_id", "via", "name"]).select("repo_id", "file_path", "name", F.col("inner").alias("target")).join(e, ["repo_id", "target", "name"])
+    return direct.select("repo_id", "file_path", "name", "target", "def_ord").unionByName(once.select("repo_id", "file_path", "name", "target", "def_ord")).where("file_path <> target").distinct()
+
+
 def repo_edges(rows: DataFrame, imports: DataFrame, exported: DataFrame) -> DataFrame:
     """Edges from scopes that use an imported name to the definition it names in a local file.
 
     imports(repo_id, file_path, name, target). One edge per pair of scope and definition, with the last reference.
     """
     refs = rows.where("kind = 'ref'").select("repo_id", "file_path", "name", "scope_id", "ord")
-    i = imports.where("target IS NOT NULL").select("repo_id", "file_path", "name", "target").distinct()
-    e = exported.select("repo_id", F.col("file_path").alias("target"), "name", F.col("ord").alias("def_ord"))
-    x = refs.join(i, ["repo_id", "file_path", "name"]).join(e, ["repo_id", "target", "name"]).where("file_path <> target")
+    x = refs.join(import_exports(imports, exported), ["repo_id", "file_path", "name"])
     return x.groupBy("repo_id", "file_path", "scope_id", "target", "def_ord").agg(F.max_by("name", "ord").alias("name"), F.count("*").alias("n_refs"))
 
 
@@ -122,14 +135,15 @@ def chunk_edges(edges: DataFrame, chunks: DataFrame, scopes: DataFrame, caps: Da
     return y.groupBy("repo_id", "file_path", "scope_id", "target", "def_ord", "name").agg(F.min("src_ord").alias("src_ord"), F.min("dst_ord").alias("dst_ord"))
 
 
-def name_edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """Edges between chunks of which one refers to a name that the other defines, one per pair, by its first name.
+def name_edges(refs: DataFrame, defs: DataFrame, group: list[str]) -> DataFrame:
+    """Edges between chunks of a group of which one refers to a name that the other defines, one per pair, by its first name.
 
-    refs(chunk, name, ord), defs(chunk, name): distinct before they meet, so that only pairs of distinct chunks and names are joined.
+    refs(group.., chunk, name, ord), defs(group.., chunk, name): distinct before they meet, and names meet within their
+    repository only, so that a common name does not pair chunks that cannot know each other.
     """
-    r = refs.groupBy(F.col("chunk").alias("src"), "name").agg(F.min("ord").alias("o"))
-    d = defs.select(F.col("chunk").alias("dst"), "name").distinct()
-    return r.join(d, "name").where("src <> dst").groupBy("src", "dst").agg(F.min_by("name", F.struct("o", "name")).alias("name"))
+    r = refs.groupBy(*group, F.col("chunk").alias("src"), "name").agg(F.min("ord").alias("o"))
+    d = defs.select(*group, F.col("chunk").alias("dst"), "name").distinct()
+    return r.join(d, [*group, "name"]).where("src <> dst").groupBy(*group, "src", "dst").agg(F.min_by("name", F.struct("o", "name")).alias("name"))
 
 
 def lifted(edges: DataFrame, members: DataFrame) -> DataFrame:

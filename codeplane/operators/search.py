@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .ordered import capped, exact_only
+from .ordered import exact_only, numbered
 
 
 def name_index(blocks: DataFrame) -> DataFrame:
@@ -30,6 +30,17 @@ def find_by_name(blocks: DataFrame, names: list[str], kind: str, pattern: str |
     return exact_only(hits.withColumn("__all", F.lit(1)), ["__all"], "__in").drop("__in", "__all")
 
 
+def find_by_names(blocks: DataFrame, names: DataFrame, kind: str, tests: bool = False) -> DataFrame:
+    """As find_by_name, for a table names(repo_id, identifier) of any size."""
+    found = blocks.where(F.col("type") == kind).join(names.select("repo_id", "identifier").distinct(), ["repo_id", "identifier"], "left_semi")
+    return found if tests else found.where(~X.matches_any(F.col("file_path"), X.TEST_GLOBS))
+
+
+def unique(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys.., value, is_error): what a lookup by key gives; a key of several rows is an error and has no value."""
+    return rows.groupBy(*keys).agg(F.when(F.count("*") == 1, F.min(value)).alias(value), (F.count("*") > 1).alias("is_error"))
+
+
 def post_filtered(hits: DataFrame, category: str | None = None, include: list[str] | None = None, exclude_tests: bool = False, content: str | None = None) -> DataFrame:
     """Filters that follow a top-k, so that fewer than k may remain."""
     if category is not None:
@@ -90,7 +101,7 @@ def reranked(paths: DataFrame, pattern: str, path: str = "file_path") -> DataFra
         return s.map(lambda p: partial_ratio(pattern, p) if p is not None else None)
 
     ratio = F.pandas_udf(ratio, "double", F.PandasUDFType.SCALAR)
-    return paths.withColumn("similarity", ratio(F.col(path))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("similarity"), path)))
+    return numbered(paths.withColumn("similarity", ratio(F.col(path))), [F.desc("similarity"), F.col(path)], "place")
 
 
 def search_requests(hits: DataFrame, results: int) -> DataFrame:
@@ -105,8 +116,11 @@ def two_arm(code: DataFrame, clusters: DataFrame, n_code: int = 4, tokens: int =
 
 
 def initial_context(hits: DataFrame, group: list[str], per_file: int = 5, results: int = 50) -> DataFrame:
-    """Ranked hits with at most so many per file and in all."""
-    return capped(hits, ["file_path"], ["distance", "id"], per_file, group, results)
+    """Ranked hits with at most so many per file and in all (G13): only the best ``results`` meet in a task."""
+    kept = hits.withColumn("__n", F.row_number().over(Window.partitionBy(*group, "file_path").orderBy("distance", "id"))).where(F.col("__n") <= per_file).drop("__n")
+    if group:
+        return kept.withColumn("n_all", F.row_number().over(Window.partitionBy(*group).orderBy("distance", "id"))).where(F.col("n_all") <= results)
+    return kept.orderBy("distance", "id").limit(results).withColumn("n_all", F.row_number().over(Window.orderBy("distance", "id")))
 
 
 def found_or(first: DataFrame, fallback: DataFrame) -> DataFrame:

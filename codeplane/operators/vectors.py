@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import squared_l2
+from .ordered import numbered
 
-#: Queries that knn sends to the executors at once; more are answered in blocks.
-QUERY_BLOCK = 4096
+#: Queries and vectors that meet in one task of knn, at most.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 50_000
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", embedding: str = "embedding", where=None) -> DataFrame:
@@ -24,41 +25,41 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, vec_id, distance, rank) of the k nearest vectors to each query, exactly.
 
-    Queries are collected in blocks of bounded size and sent to the vectors; every batch of vectors keeps its own
-    k best per query, so what is shuffled is k rows per query and batch, never the vectors.  Null embeddings are skipped.
+    A block join on the executors: queries are cut into blocks of at most QUERY_BLOCK and vectors into blocks of at most
+    VECTOR_BLOCK by the hash of their id, and every block of queries meets every block of vectors in a task of its
+    own, which keeps the k best per query; the driver sees neither.  Null embeddings are skipped.
     """
-    import numpy as np
-
-    rows = [(r[0], np.asarray(r[1], dtype="float64")) for r in queries.select(id_col, embedding).where(f"{embedding} IS NOT NULL").toLocalIterator()]
-    result = None
-    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = np.array([r[0] for r in block], dtype="int64")
-        q = np.array([r[1] for r in block]) if block else np.zeros((0, 1))
-
-        def run(batches, ids=ids, q=q):
-            import numpy as np
-            import pyarrow as pa
-
-            for batch in batches:
-                vid = np.asarray(batch.column(0).to_pylist(), dtype="int64")
-                if not len(vid) or not len(ids):
-                    continue
-                v = np.array(batch.column(1).to_pylist(), dtype="float64")
-                d = ((q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :]).clip(0)
-                n = min(k, len(vid))
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                rest = np.take_along_axis(d, near, 1)
-                # ties at the edge of the batch's best stay in: the final ranking decides by id
-                edge = rest.max(1)
-                qi, vi = np.nonzero(d <= edge[:, None] + 1e-12)
-                exact = ((q[qi] - v[vi]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(vid[vi]), pa.array(exact)], names=["query_id", "vec_id", "distance"])
-
-        found = vectors.select(F.col(id_col).cast("bigint").alias(id_col), embedding).where(f"{embedding} IS NOT NULL").mapInArrow(run, "query_id BIGINT, vec_id BIGINT, distance DOUBLE")
-        result = found if result is None else result.unionByName(found)
+    def blocks(df, size, name):
+        n = max(1, -(-df.count() // size))
+        return df.withColumn(name, F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
+
+    q, nq = blocks(queries.select(F.col(id_col).cast("bigint").alias(id_col), embedding).where(f"{embedding} IS NOT NULL"), QUERY_BLOCK, "qb")
+    v, nv = blocks(vectors.select(F.col(id_col).cast("bigint").alias(id_col), embedding).where(f"{embedding} IS NOT NULL"), VECTOR_BLOCK, "vb")
+    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def near(left, right):
+        import numpy as np
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        ids, vid = left[id_col].to_numpy(), right[id_col].to_numpy()
+        a, b = np.stack(left[embedding].to_list()).astype("float64"), np.stack(right[embedding].to_list()).astype("float64")
+        out = []
+        for at in range(0, len(a), 512):
+            x = a[at : at + 512]
+            d = ((x**2).sum(1)[:, None] - 2 * x @ b.T + (b**2).sum(1)[None, :]).clip(0)
+            n = min(k, len(vid))
+            edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+            # ties at the edge stay in: the final ranking decides by id
+            qi, vi = np.nonzero(d <= edge[:, None] * (1 + 1e-9) + 1e-9)
+            out.append(pd.DataFrame({"query_id": ids[at + qi], "vec_id": vid[vi], "distance": ((x[qi] - b[vi]) ** 2).sum(1)}))
+        return pd.concat(out)
+
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(near, "query_id BIGINT, vec_id BIGINT, distance DOUBLE")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return result.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def cluster_of_best(vectors: DataFrame, query: list[float], members: DataFrame, n_clusters: int = 1) -> DataFrame:
@@ -83,8 +84,8 @@ def hits_to_files(hits: DataFrame, docs: DataFrame) -> DataFrame:
 def add_vectors(store: DataFrame, new: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """The store with new vectors numbered from its greatest id + 1, in the order of their ref_id (I8)."""
     top = store.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("top"))
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("ref_id"))).join(F.broadcast(top)).withColumn(id_col, F.col("top") + F.col("n")).drop("n", "top")
-    return store.unionByName(numbered, allowMissingColumns=True)
+    added = numbered(new, [F.col("ref_id")], "n").join(F.broadcast(top)).withColumn(id_col, F.col("top") + F.col("n")).drop("n", "top")
+    return store.unionByName(added, allowMissingColumns=True)
 
 
 def apply_deletes(store: DataFrame, deleted: DataFrame, ref: str = "ref_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,13 @@ from ..sources.chunks import clean_chunks, files
 from .common import CC, EXT, FP
 from .registry import query
 
-#: Modules that come with the language, as far as the imports of the tables name them.
-SYSTEM = ["os", "re", "sys", "json", "logging", "itertools", "pathlib", "typing", "collections", "functools", "base64", "math", "time", "datetime", "__future__"]
-THIRD_PARTY = ["numpy", "pandas", "pyspark", "pytest", "requests", "wirepack"]
+#: Packages that others publish, by the names under which they are imported.
+THIRD_PARTY = (
+    "aiohttp attr bs4 boto3 celery click cryptography cv2 dateutil django dotenv fastapi flask google grpc httpx jinja2 jwt keras kubernetes lxml markdown matplotlib networkx nltk numpy openpyxl pandas PIL plotly psycopg2 "
+    "pyarrow pydantic pymongo pyspark pytest redis regex requests rich ruamel scipy setuptools six sklearn spacy sqlalchemy starlette tensorflow tiktoken tokenizers torch tqdm transformers typer urllib3 uvicorn werkzeug wirepack yaml"
+).split()
+#: Modules that come with the language, as this interpreter lists them.
+SYSTEM = sorted(sys.stdlib_module_names)
 
 
 def _cc(t):
@@ -100,8 +106,9 @@ def b17(t):
 _LINES = f"{CC}, ff AS (SELECT repo_id, file_path, string_agg(content, chr(10) ORDER BY ord) AS content FROM cc GROUP BY 1, 2), ll AS (SELECT repo_id, file_path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, regexp_replace(unnest(string_split(content, chr(10))), '\\r$', '') AS line FROM ff"
 
 
-@query("b18_hunks", f"""WITH {_LINES} WHERE content LIKE '%@@ -%'), f AS (SELECT *, last_value(CASE WHEN line LIKE '--- a/%' THEN line[7:] END IGNORE NULLS) OVER (PARTITION BY repo_id, file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file FROM ll),
- h AS (SELECT *, CAST(regexp_extract(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@', 1) AS INT) AS a, CAST(regexp_extract(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@', 2) AS INT) AS n FROM f WHERE regexp_matches(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@'))
+@query("b18_hunks", f"""WITH {_LINES} WHERE content LIKE '%@@ -%'), f AS (SELECT *, coalesce(last_value(nullif(regexp_extract(line, '^diff --git a/(.+) b/.+', 1), '') IGNORE NULLS) OVER w, first_value(nullif(regexp_extract(line, '^--- a/(.+)', 1), '') IGNORE NULLS) OVER w) AS file
+ FROM ll WINDOW w AS (PARTITION BY repo_id, file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ h AS (SELECT *, CAST(regexp_extract(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@', 1) AS INT) AS a, CAST(regexp_extract(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@', 2) AS INT) AS n FROM f WHERE file IS NOT NULL AND regexp_matches(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@'))
  SELECT repo_id, file_path, file, a + greatest(1, least(3, a - 3)) AS start, a + greatest(1, least(3, a - 3)) + greatest(0, n - 7) AS end_ FROM h""")
 def b18(t):
     p = files(t("chunks")).where("content LIKE '%@@ -%'")
@@ -125,7 +132,7 @@ def b23(t):
 
 @query("b24_clean_markdown")
 def b24(t):
-    return t("documents").where("source = 'readme'").select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
+    return t("documents").select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
 
 
 @query("b27_repo_urls", "SELECT id, url, nullif(regexp_extract(url, '^(?:https?://[^/]+/|git@[^:]+:)([^/]+)/', 1), '') AS owner_, nullif(regexp_extract(url, '^(?:https?://[^/]+/|git@[^:]+:)[^/]+/([^/]+?)(?:\\.git)?/?$', 1), '') AS repo_, regexp_replace(url, '^https?://([^/]+)/', 'git@\\1:') AS ssh FROM repos")
@@ -155,9 +162,10 @@ def c2(t):
     return _cc(t).where("category = 'test' AND tokens > 100 AND start_line < 50").select("repo_id", "file_path", "ord")
 
 
-@query("c3_unique_node", f"WITH {CC} SELECT repo_id, chunk_id, min(file_path) AS file_path FROM cc GROUP BY 1, 2 HAVING count(*) = 1")
+@query("c3_unique_node", f"WITH {CC} SELECT repo_id, chunk_id, CASE WHEN count(*) = 1 THEN min(file_path) END AS file_path, count(*) > 1 AS is_error FROM cc GROUP BY 1, 2")
 def c3(t):
-    return _cc(t).groupBy("repo_id", "chunk_id").agg(F.min("file_path").alias("file_path"), F.count("*").alias("n")).where("n = 1").drop("n")
+    """Lookups of every node by its id: its file, or an error where the id is not its own."""
+    return R.unique(_cc(t), ["repo_id", "chunk_id"], "file_path")
 
 
 @query("c4_exists", f"WITH {CC} SELECT repo_id, file_path, ord FROM cc WHERE EXISTS (SELECT 1 FROM token_usage u WHERE u.repo_id = cc.repo_id AND u.chunk_id = cc.chunk_id)")
@@ -297,9 +305,9 @@ def n5(t):
     return N.call_refs(_caps(t))
 
 
-def _imports(t):
-    i = _caps(t).where("kind = 'import'").select("repo_id", "file_path", "name", F.regexp_replace("sub", r"^\.+", "").alias("module"))
-    return N.module_files(i, _py(t)).withColumn("root", F.element_at(F.split("module", r"\."), 1))
+def _imports(t, caps=None):
+    i = (caps if caps is not None else _caps(t)).where("kind = 'import'").select("repo_id", "file_path", "name", F.regexp_replace("sub", r"^\.+", "").alias("module"))
+    return N.module_files(i, _cc(t).select("repo_id", "file_path").distinct()).withColumn("root", F.element_at(F.split("module", r"\."), 1))
 
 
 @query("n7_module_files")
@@ -317,39 +325,51 @@ def n10(t):
     return N.exports(_placed(t))
 
 
+def _local(t):
+    """Captures, scopes, placed names, imports and exports from one reading of the files."""
+    caps = _caps(t)
+    scopes = checkpointed(N.scope_table(caps))
+    rows = checkpointed(N.placed(caps, scopes))
+    return caps, scopes, rows, _imports(t, caps), N.exports(rows)
+
+
+@query("n11_import_exports")
+def n11(t):
+    *_, imports, exported = _local(t)
+    return N.import_exports(imports, exported)
+
+
 @query("n12_repo_edges")
 def n12(t):
-    p = _placed(t)
-    return N.repo_edges(p, _imports(t), N.exports(p))
+    _, _, rows, imports, exported = _local(t)
+    return N.repo_edges(rows, imports, exported)
 
 
 @query("n14_chunk_edges")
 def n14(t):
-    caps = _caps(t)
-    sc = N.scope_table(caps)
-    p = N.placed(caps, sc)
-    return N.chunk_edges(N.repo_edges(p, _imports(t), N.exports(p)), _cc(t), sc, caps)
+    caps, scopes, rows, imports, exported = _local(t)
+    return N.chunk_edges(N.repo_edges(rows, imports, exported), _cc(t), scopes, caps)
 
 
-_NE = f"{CC}, r AS (SELECT concat(repo_id, ':', file_path, ':', ord) AS chunk, name, min(n) AS o FROM (SELECT repo_id, file_path, ord, unnest(flatten(map_values(imports))) AS name, unnest(range(len(flatten(map_values(imports))))) AS n FROM cc) GROUP BY 1, 2), d AS (SELECT DISTINCT concat(repo_id, ':', file_path, ':', ord) AS chunk, unnest(span_ids) AS name FROM cc WHERE ord <= 2)"
+_NE = f"{CC}, r AS (SELECT repo_id, concat(repo_id, ':', file_path, ':', ord) AS chunk, name, min(n) AS o FROM (SELECT repo_id, file_path, ord, unnest(flatten(map_values(imports))) AS name, unnest(range(len(flatten(map_values(imports))))) AS n FROM cc) GROUP BY 1, 2, 3), d AS (SELECT DISTINCT repo_id, concat(repo_id, ':', file_path, ':', ord) AS chunk, unnest(span_ids) AS name FROM cc), j AS (SELECT r.repo_id, r.chunk AS src, d.chunk AS dst, r.name, r.o FROM r JOIN d USING (repo_id, name) WHERE r.chunk <> d.chunk)"
 
 
 def _name_tables(t):
     key = F.concat_ws(":", "repo_id", "file_path", "ord").alias("chunk")
     c = _cc(t)
-    r = c.where("imports IS NOT NULL").select(key, F.posexplode(F.flatten(F.map_values("imports"))).alias("ord_", "name")).withColumnRenamed("ord_", "ord")
-    return r, c.select(key, F.explode("span_ids").alias("name"))
+    r = c.where("imports IS NOT NULL").select("repo_id", key, F.posexplode(F.flatten(F.map_values("imports"))).alias("ord_", "name")).withColumnRenamed("ord_", "ord")
+    return r, c.select("repo_id", key, F.explode("span_ids").alias("name"))
 
 
-@query("n15_name_edges", f"WITH {_NE}, j AS (SELECT r.chunk AS src, d.chunk AS dst, r.name, r.o FROM r JOIN d USING (name) WHERE r.chunk <> d.chunk) SELECT src, dst, name FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY o, name) AS n FROM j) WHERE n = 1")
+@query("n15_name_edges", f"WITH {_NE} SELECT repo_id, src, dst, name FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY o, name) AS n FROM j) WHERE n = 1")
 def n15(t):
-    return N.name_edges(*_name_tables(t))
+    return N.name_edges(*_name_tables(t), ["repo_id"])
 
 
-@query("n16_cluster_edges", f"WITH {_NE}, j AS (SELECT DISTINCT r.chunk AS src, d.chunk AS dst FROM r JOIN d USING (name) WHERE r.chunk <> d.chunk), m AS (SELECT concat(repo_id, ':', file_path, ':', ord) AS chunk, repo_id AS cluster FROM cc) SELECT a.cluster AS src_cluster, b.cluster AS dst_cluster, count(*) AS n_edges FROM j JOIN m a ON a.chunk = src JOIN m b ON b.chunk = dst WHERE a.cluster <> b.cluster GROUP BY 1, 2")
+@query("n16_cluster_edges", f"WITH {_NE}, m AS (SELECT concat(repo_id, ':', file_path, ':', ord) AS chunk, concat(repo_id, ':', regexp_extract(file_path, '^(.*)/', 1)) AS cluster FROM cc), p AS (SELECT DISTINCT src, dst FROM j) SELECT a.cluster AS src_cluster, b.cluster AS dst_cluster, count(*) AS n_edges FROM p JOIN m a ON a.chunk = src JOIN m b ON b.chunk = dst WHERE a.cluster <> b.cluster GROUP BY 1, 2")
 def n16(t):
-    e = N.name_edges(*_name_tables(t))
-    m = _cc(t).select(F.concat_ws(":", "repo_id", "file_path", "ord").alias("chunk"), F.col("repo_id").alias("cluster"))
+    e = N.name_edges(*_name_tables(t), ["repo_id"])
+    m = _cc(t).select(F.concat_ws(":", "repo_id", "file_path", "ord").alias("chunk"), F.concat_ws(":", "repo_id", F.regexp_extract("file_path", "^(.*)/", 1)).alias("cluster"))
     return N.lifted(e, m)
 
 
@@ -370,8 +390,9 @@ def n19(t):
 
 @query("n30_find_by_name")
 def n30(t):
-    b = B.blocks(_py(t))
-    return R.find_by_name(b, ["__init__", "main", "load_chunk", "drop_alias", "rank_file"], "function").select("repo_id", "file_path", "path", "start_line")
+    """Functions of every name that chunks of their repository import."""
+    names = _cc(t).where("imports IS NOT NULL").select("repo_id", F.explode(F.flatten(F.map_values("imports"))).alias("identifier")).distinct()
+    return R.find_by_names(B.blocks(_py(t)), names, "function").select("repo_id", "file_path", "path", "start_line")
 
 
 @query("j8_name_index")
@@ -415,10 +436,19 @@ def j17(t):
     return K.concatenated(_cc(t), ["repo_id"], ["file_path", "ord"], "chunk_id").select("repo_id", F.length("text").alias("n_chars"))
 
 
-@query("g10_expanded_context")
+_G10 = f"""{CC}, s AS (SELECT repo_id, file_path, ord AS span_id, greatest(coalesce(tokens, 0), 0) AS tokens, coalesce(len(map_keys(imports)) > 0, false) AS inside FROM cc),
+ r AS (SELECT c.repo_id, c.file_path, s.span_id, s.tokens, c.tokens AS of_, row_number() OVER (PARTITION BY c.repo_id, c.file_path, s.span_id ORDER BY c.tokens DESC, c.span_id) AS n, c.span_id AS via FROM s c JOIN s USING (repo_id, file_path) WHERE c.inside AND NOT s.inside AND abs(s.span_id - c.span_id) = 1),
+ z AS (SELECT repo_id, file_path, sum(tokens) AS size0 FROM s WHERE inside GROUP BY 1, 2),
+ q AS (SELECT r.*, size0, coalesce(sum(r.tokens) OVER (PARTITION BY repo_id, file_path ORDER BY of_ DESC, via, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS added FROM r JOIN z USING (repo_id, file_path) WHERE n = 1 AND size0 <= 600),
+ k AS (SELECT *, min(CASE WHEN greatest(tokens, of_) + size0 + added <= 600 THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id, file_path ORDER BY of_ DESC, via, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fits FROM q)"""
+
+
+@query("g10_expanded_context", f"WITH {_G10} SELECT repo_id, file_path, span_id, tokens FROM k WHERE fits = 1")
 def g10(t):
-    s = _cc(t).select("repo_id", F.concat_ws(":", "file_path", "ord").alias("span_id"), F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).alias("tokens"))
-    return K.expanded_context(s, 4000, ["repo_id"])
+    """Neighbours that chunks with imports draw into the context of their file, up to 600 tokens in all."""
+    s = _cc(t).select("repo_id", "file_path", F.col("ord").alias("span_id"), F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).alias("tokens"), (F.size(F.map_keys("imports")) > 0).alias("inside"))
+    near = s.select("repo_id", "file_path", "span_id", F.explode(F.array(F.col("span_id") - 1, F.col("span_id") + 1)).alias("related"))
+    return K.expanded_context(s.where("inside").drop("inside"), near, s.drop("inside"), 600, ["repo_id", "file_path"])
 
 
 @query("g11_small_classes", f"WITH {CC} SELECT repo_id, file_path FROM cc GROUP BY 1, 2 HAVING count(*) = 1")

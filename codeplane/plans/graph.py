@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import extract as B
@@ -31,8 +32,7 @@ def h4(t):
     return G.descendants(_tree(t), t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("root")))
 
 
-_E = "e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation)"
-_P = f"{_E}, p AS (SELECT src, dst, [src, dst] AS path, 1 AS length FROM e WHERE src <> dst UNION ALL SELECT p.src, e.dst, list_append(p.path, e.dst), p.length + 1 FROM p JOIN e ON p.dst = e.src WHERE p.length < 4 AND NOT list_contains(p.path, e.dst))"
+_NE = "e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation)"
 
 
 def _edges(t):
@@ -40,25 +40,33 @@ def _edges(t):
     return t("nation").select(n.alias("src"), ((n * 7 + 3) % 25).alias("dst")).union(t("nation").select(n, (n * 3 + 1) % 25)).distinct()
 
 
+def _import_edges(t):
+    c = clean_chunks(t("chunks"))
+    key = F.concat_ws(":", "repo_id", F.regexp_replace("chunk_id", r"::\d+$", ""))
+    return c.where("imports IS NOT NULL").select(key.alias("src"), F.col("repo_id").alias("r"), F.explode(F.map_keys("imports")).alias("d")).select("src", F.concat_ws(":", "r", F.regexp_replace("d", r"::\d+$", "")).alias("dst"))
+
+
+_IE = f"{CC}, e AS (SELECT DISTINCT concat(repo_id, ':', regexp_replace(chunk_id, '::\\d+$', '')) AS src, concat(repo_id, ':', regexp_replace(unnest(map_keys(imports)), '::\\d+$', '')) AS dst FROM cc)"
+_P = f"{_IE}, p AS (SELECT src, dst, [src, dst] AS path, 1 AS length FROM e WHERE src <> dst UNION ALL SELECT p.src, e.dst, list_append(p.path, e.dst), p.length + 1 FROM p JOIN e ON p.dst = e.src WHERE p.length < 4 AND NOT list_contains(p.path, e.dst))"
+
+
 @query("h6_simple_paths", f"WITH RECURSIVE {_P} SELECT src, dst, path, length FROM p WHERE src < dst")
 def h6(t):
-    return G.simple_paths(_edges(t), 4)
+    """Paths of up to 4 imports between files."""
+    return G.simple_paths(_import_edges(t), 4)
 
 
 @query("g7_longest_paths", f"WITH RECURSIVE {_P} SELECT src, dst, path, length FROM p WHERE src < dst ORDER BY length DESC, path LIMIT 10")
 def g7(t):
-    return G.longest_paths(_edges(t), 4, 10)
+    return G.longest_paths(_import_edges(t), 4, 10)
 
 
-@query("h7_paths_through", f"WITH RECURSIVE {_P} SELECT src, dst, path FROM p WHERE src < dst AND list_contains(path, 5)")
+@query("h7_paths_through", f"WITH RECURSIVE {_P}, hub AS (SELECT dst FROM e GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 1) SELECT src, p.dst, path FROM p, hub WHERE src < p.dst AND list_contains(path, hub.dst)")
 def h7(t):
-    return G.paths_through(G.simple_paths(_edges(t), 4), 5).select("src", "dst", "path")
-
-
-def _import_edges(t):
-    c = clean_chunks(t("chunks"))
-    key = F.concat_ws(":", "repo_id", F.regexp_replace("chunk_id", r"::\d+$", ""))
-    return c.where("imports IS NOT NULL").select(key.alias("src"), F.col("repo_id").alias("r"), F.explode(F.map_keys("imports")).alias("d")).select("src", F.concat_ws(":", "r", F.regexp_replace("d", r"::\d+$", "")).alias("dst"))
+    """Paths through the file that is imported most."""
+    e = _import_edges(t).distinct()
+    hub = e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("hub"))
+    return G.simple_paths(e, 4).join(F.broadcast(hub), F.array_contains("path", F.col("hub"))).select("src", "dst", "path")
 
 
 @query("h1_communities")
@@ -79,8 +87,10 @@ def h5(t):
 
 @query("h8_edge_series")
 def h8(t):
-    li = t("lineitem").where("l_linenumber <= 2")
-    return G.edge_series(li.select((F.col("l_suppkey") % 50).alias("grp"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), "grp")
+    """Chains of steps from one kind of event to the next, per user."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    steps = t("events").select("user_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst IS NOT NULL")
+    return G.edge_series(steps.distinct(), "user_id")
 
 
 @query("h13_path_trie", f"""WITH {CC}, p AS (SELECT DISTINCT repo_id, string_split(file_path, '/') AS parts FROM cc), x AS (SELECT repo_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM p)
@@ -89,13 +99,13 @@ def h13(t):
     return G.prefixes(clean_chunks(t("chunks")).select("repo_id", "file_path").distinct(), "repo_id", "file_path")
 
 
-@query("h15_removed_nodes", f"WITH {_E} SELECT src, dst FROM e WHERE src % 5 <> 0 AND dst % 5 <> 0")
+@query("h15_removed_nodes", f"WITH {_NE} SELECT src, dst FROM e WHERE src % 5 <> 0 AND dst % 5 <> 0")
 def h15(t):
     e = _edges(t)
     nodes = t("nation").select(F.col("n_nationkey").alias("node"))
     return G.without_nodes(nodes, e, nodes.where("node % 5 = 0"))[1].select("src", "dst")
 
 
-@query("h16_rendered", f"WITH {_E} SELECT src % 5 AS grp, string_agg(src || ' -> ' || dst, chr(10) ORDER BY src, dst) AS text FROM e GROUP BY 1")
+@query("h16_rendered", f"WITH {_NE} SELECT src % 5 AS grp, string_agg(src || ' -> ' || dst, chr(10) ORDER BY src, dst) AS text FROM e GROUP BY 1")
 def h16(t):
     return G.rendered(_edges(t).withColumn("grp", F.col("src") % 5), "grp")

@@ -43,8 +43,8 @@ def f2(t):
 
 
 @query("f3_closeness_bytes", f"""WITH {_MEM}, {_INP}, j AS (SELECT cluster_id, pos, idx, bytes, before FROM m JOIN i USING (idx)),
- a AS (SELECT *, max({{'i': idx, 'e': before + bytes}}) OVER (PARTITION BY cluster_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM j)
- SELECT cluster_id, round(count(*) FILTER (WHERE idx > anchor.i AND before - anchor.e <= 1000) / count(*), 8) AS closeness FROM a GROUP BY 1""")
+ a AS (SELECT *, max({{'i': idx, 'e': before}}) OVER (PARTITION BY cluster_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM j)
+ SELECT cluster_id, round(count(*) FILTER (WHERE idx >= anchor.i AND before - anchor.e <= 1000) / count(*), 8) AS closeness FROM a GROUP BY 1""")
 def f3(t):
     return O.closeness_bytes(_members(t).join(_inputs(t), "idx"), 1000).withColumn("closeness", F.round("closeness", 8))
 
@@ -107,18 +107,18 @@ def f10(t):
     return _cc(t).select("repo_id", "file_path", "ord", F.lag("ord").over(w).alias("before"), F.first("start_line").over(w).alias("first_start"), F.last("end_line").over(full).alias("last_end"))
 
 
-_LN = f"{CC}, l AS (SELECT repo_id, file_path, ord, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, unnest(string_split(content, chr(10))) AS text FROM cc WHERE ord = 1 AND file_path LIKE '%.md')"
+_LN = f"{CC}, l AS (SELECT repo_id, file_path, ord, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, unnest(string_split(content, chr(10))) AS text FROM cc)"
 
 
 def _lines(t):
-    c = _cc(t).where("ord = 1 AND file_path LIKE '%.md' AND content IS NOT NULL")
+    c = _cc(t).where("content IS NOT NULL")
     return c.select("repo_id", "file_path", "ord", F.posexplode(F.split("content", "\n")).alias("p", "text")).select("repo_id", "file_path", "ord", (F.col("p") + 1).alias("line_no"), "text")
 
 
 @query("f11_snapped", f"""WITH {_LN}, f AS (SELECT *, CASE WHEN length(trim(text)) > 0 THEN line_no END AS k FROM l)
- SELECT repo_id, file_path, line_no, max(k) OVER (PARTITION BY repo_id, file_path ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS above, min(k) OVER (PARTITION BY repo_id, file_path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS below FROM f""")
+ SELECT repo_id, file_path, ord, line_no, max(k) OVER (PARTITION BY repo_id, file_path, ord ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS above, min(k) OVER (PARTITION BY repo_id, file_path, ord ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS below FROM f""")
 def f11(t):
-    return O.snapped(_lines(t), ["repo_id", "file_path"]).select("repo_id", "file_path", "line_no", "above", "below")
+    return O.snapped(_lines(t), ["repo_id", "file_path", "ord"]).select("repo_id", "file_path", "ord", "line_no", "above", "below")
 
 
 @query("f12_edit_span", f"""WITH {CC} SELECT repo_id, file_path, ord, CASE WHEN end_line - start_line <= 20 THEN start_line ELSE greatest(start_line, (start_line + end_line) // 2 - 4) END AS s,

@@ -19,7 +19,7 @@ def _cc(t):
 @query("n24_patch_spans")
 def n24(t):
     h = B.hunks(files(t("chunks")).where("content LIKE '%@@ -%'"), ["repo_id", "file_path"])
-    s = _cc(t).select(F.regexp_replace(F.col("file_name"), r"\.\w+$", "").alias("file"), F.explode("span_ids").alias("span_id"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    s = _cc(t).select("repo_id", F.col("file_path").alias("file"), F.explode("span_ids").alias("span_id"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
     return P.patch_spans(h, s, ["repo_id", "file_path"])
 
 
@@ -48,7 +48,7 @@ def h17(t):
     c = _cc(t)
     e = c.select("repo_id", F.col("chunk_id").alias("src"), F.explode(F.map_keys("imports")).alias("dst"))
     tokens = c.groupBy("repo_id", F.col("chunk_id").alias("node")).agg(F.sum(F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))).alias("tokens"))
-    seeds = c.where("ord = 2").groupBy("repo_id").agg(F.min("chunk_id").alias("node"))
+    seeds = c.groupBy("repo_id").agg(F.min("chunk_id").alias("node"))
     return P.expanded(seeds, e, tokens, 4000, "repo_id").select("repo_id", "node", "level", "sum_tokens")
 
 
@@ -62,9 +62,9 @@ def b26(t):
     return _cc(t).where("content LIKE '%<title>%'").select("repo_id", "file_path", "ord", F.size(X.between_tags(F.col("content"), "title")).alias("n"))
 
 
-@query("i14_replaced_lines", f"WITH {CC}, s AS (SELECT repo_id, file_path, ord, string_split(content, chr(10)) AS l FROM cc WHERE content IS NOT NULL AND file_path LIKE '%.md') SELECT repo_id, file_path, ord, array_to_string(list_concat(list_concat(l[1:1], ['new']), l[4:len(l)]), chr(10)) AS content FROM s")
+@query("i14_replaced_lines", f"WITH {CC}, s AS (SELECT repo_id, file_path, ord, string_split(content, chr(10)) AS l FROM cc WHERE content IS NOT NULL) SELECT repo_id, file_path, ord, array_to_string(list_concat(list_concat(l[1:1], ['new']), l[4:len(l)]), chr(10)) AS content FROM s")
 def i14(t):
-    return _cc(t).where("content IS NOT NULL AND file_path LIKE '%.md'").select("repo_id", "file_path", "ord", P.replaced_lines(F.col("content"), 1, 3, ["", "new", " "]).alias("content"))
+    return _cc(t).where("content IS NOT NULL").select("repo_id", "file_path", "ord", P.replaced_lines(F.col("content"), 1, 3, ["", "new", " "]).alias("content"))
 
 
 @query("j10_report", "SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS report FROM nation GROUP BY 1")

@@ -55,10 +55,11 @@ def g3b(t):
     return V.top_k(t("embeddings"), _q0(t), 20, where="label % 2 = 0").select("vec_id", F.round("distance", 4).alias("distance"))
 
 
-@query("g4_cluster_members", f"WITH b AS (SELECT label, {_D0} AS d FROM embeddings WHERE vec_id < 10 ORDER BY d, label LIMIT 1) SELECT e.vec_id, e.label, round(b.d, 4) AS distance FROM embeddings e JOIN b USING (label)")
+@query("g4_cluster_members", f"WITH h AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1), b AS (SELECT label, {_D0} AS d FROM h ORDER BY d, label LIMIT 1) SELECT e.vec_id, e.label, round(b.d, 4) AS distance FROM embeddings e JOIN b USING (label)")
 def g4(t):
+    """Members of the cluster whose first vector is nearest."""
     e = t("embeddings")
-    heads = e.where("vec_id < 10").select(F.col("label").alias("cluster_id"), "embedding")
+    heads = e.groupBy(F.col("label").alias("cluster_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     members = e.select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("chunk_id"))
     best = V.cluster_of_best(heads, _q0(t), members)
     return best.select(F.col("chunk_id").alias("vec_id"), F.col("cluster_id").alias("label"), F.round("distance", 4).alias("distance"))
@@ -71,7 +72,7 @@ def g5(t):
 
 @query("g6_reranked_paths")
 def g6(t):
-    return R.reranked(_cc(t).select("file_path").distinct().where("file_path LIKE 'src/%.js'"), "src/walker/cache.js")
+    return R.reranked(_cc(t).select("file_path").distinct(), "src/walker/cache.js")
 
 
 @query("g9_offset_limit", "SELECT call_id, model FROM token_usage ORDER BY call_id, arrived_at LIMIT 10 OFFSET 20")
@@ -91,15 +92,15 @@ def g12(t):
 def g13(t):
     e = t("embeddings")
     q = F.array(*[F.lit(float(x)) for x in _q0(t)])
-    h = e.select(F.col("vec_id").alias("id"), F.col("label").alias("file_path"), X.squared_l2(F.col("embedding"), q).alias("distance"), F.lit(0).alias("one"))
-    return R.initial_context(h, ["one"]).select("id", "file_path", "n_all")
+    h = e.select(F.col("vec_id").alias("id"), F.col("label").alias("file_path"), X.squared_l2(F.col("embedding"), q).alias("distance"))
+    return R.initial_context(h, []).select("id", "file_path", "n_all")
 
 
-@query("g14_two_arm", f"WITH c AS (SELECT vec_id AS id, {_D0} AS distance FROM embeddings WHERE label < 5 ORDER BY distance, id LIMIT 4), k AS (SELECT vec_id AS id, {_D0} AS distance FROM embeddings WHERE label = 9) SELECT id, round(distance, 4) AS distance, 25 AS tokens FROM (SELECT * FROM c UNION ALL SELECT * FROM k)")
+@query("g14_two_arm", f"WITH c AS (SELECT vec_id AS id, {_D0} AS distance FROM embeddings WHERE label % 2 = 0 ORDER BY distance, id LIMIT 4), k AS (SELECT vec_id AS id, {_D0} AS distance FROM embeddings WHERE label % 2 = 1) SELECT id, round(distance, 4) AS distance, 25 AS tokens FROM (SELECT * FROM c UNION ALL SELECT * FROM k)")
 def g14(t):
     q = F.array(*[F.lit(float(x)) for x in _q0(t)])
     h = t("embeddings").select(F.col("vec_id").alias("id"), X.squared_l2(F.col("embedding"), q).alias("distance"), "label")
-    return R.two_arm(h.where("label < 5").drop("label"), h.where("label = 9").drop("label")).withColumn("distance", F.round("distance", 4))
+    return R.two_arm(h.where("label % 2 = 0").drop("label"), h.where("label % 2 = 1").drop("label")).withColumn("distance", F.round("distance", 4))
 
 
 @query("g15_requests", "WITH h AS (SELECT event_type AS request, event_id AS place FROM events) SELECT request, place FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY place) AS r FROM h) WHERE r <= floor(100 / (SELECT count(DISTINCT request) FROM h))")
@@ -112,11 +113,11 @@ def g16(t):
     return _cc(t).where("category = 'implementation'").select("repo_id", "file_path", "ord", F.explode("span_ids").alias("span_id"))
 
 
-@query("n20_hits_to_files", f"SELECT label AS file_path, min(round({_D0}, 4)) AS distance FROM embeddings WHERE vec_id < 50 GROUP BY 1")
+@query("n20_hits_to_files", f"SELECT label AS file_path, min(round({_D0}, 4)) AS distance FROM embeddings GROUP BY 1")
 def n20(t):
     e = t("embeddings")
     q = F.array(*[F.lit(float(x)) for x in _q0(t)])
-    hits = e.where("vec_id < 50").select(F.col("vec_id").alias("id"), F.lit("chunk").alias("type"), F.array("vec_id").alias("chunk_ids"), F.round(X.squared_l2(F.col("embedding"), q), 4).alias("distance"))
+    hits = e.select(F.col("vec_id").alias("id"), F.lit("chunk").alias("type"), F.array("vec_id").alias("chunk_ids"), F.round(X.squared_l2(F.col("embedding"), q), 4).alias("distance"))
     return V.hits_to_files(hits, e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("file_path")))
 
 
@@ -284,11 +285,11 @@ def i12(t):
     return S.file_spans(_cc(t).select("repo_id", "file_path", F.explode("span_ids").alias("s")), ["repo_id", "file_path"], "s")
 
 
-@query("i13_context_set", f"WITH {CC}, a AS (SELECT repo_id, file_path, unnest(span_ids) AS s FROM cc WHERE ord = 1), r AS (SELECT repo_id, file_path, unnest(span_ids) AS s FROM cc WHERE ord = 2) SELECT repo_id, file_path, s FROM a EXCEPT SELECT repo_id, file_path, s FROM r")
+@query("i13_context_set", f"WITH {CC}, a AS (SELECT repo_id, file_path, unnest(span_ids) AS s FROM cc WHERE input_type = 'chunk'), r AS (SELECT repo_id, file_path, unnest(span_ids) AS s FROM cc WHERE category = 'test') SELECT repo_id, file_path, s FROM a EXCEPT SELECT repo_id, file_path, s FROM r")
 def i13(t):
     c = _cc(t)
-    x = lambda n: c.where(f"ord = {n}").select("repo_id", "file_path", F.explode("span_ids").alias("s")).distinct()
-    return S.missing(x(1), x(2), ["repo_id", "file_path", "s"])
+    x = lambda which: c.where(which).select("repo_id", "file_path", F.explode("span_ids").alias("s")).distinct()
+    return S.missing(x("input_type = 'chunk'"), x("category = 'test'"), ["repo_id", "file_path", "s"])
 
 
 @query("i17_cache_upsert", f"WITH {TU}, k AS (SELECT function_name, model, chunk_id, call_id, created_at, row_number() OVER (PARTITION BY function_name, model, chunk_id ORDER BY created_at DESC, call_id DESC) AS n FROM tu WHERE chunk_id IS NOT NULL AND model IS NOT NULL) SELECT function_name, model, chunk_id, call_id FROM k WHERE n = 1")

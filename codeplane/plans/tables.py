@@ -22,9 +22,9 @@ def a5(t):
     return clean_chunks(t("chunks")).where("content IS NOT NULL").select("repo_id", "file_path", "ord", X.lines(F.col("content"), 2, 6).alias("part"))
 
 
-@query("a20_sorted_source", "SELECT id, owner, views FROM repos WHERE id <= 50")
+@query("a20_sorted_source", "SELECT id, owner, views FROM repos")
 def a20(t):
-    return t("repos").where("id <= 50").select("id", "owner", "views").orderBy("id")
+    return t("repos").select("id", "owner", "views").orderBy("id")
 
 
 @query("a22_added_column", "SELECT r_regionkey, r_name, 0.5::DOUBLE AS weight FROM region")
@@ -37,9 +37,9 @@ def a23(t):
     return io.describe(t("chunks"), "chunks").unionAll(io.describe(t("repos"), "repos"))
 
 
-@query("a25_next_index", "SELECT max(CAST(regexp_extract(s_name, '(\\d+)$', 1) AS INT)) + 1 AS next_index FROM supplier")
+@query("a25_next_index", f"WITH {CC} SELECT coalesce(max(CAST(nullif(regexp_extract(file_name, '_(\\d+)\\.\\w+$', 1), '') AS INT)), 0) + 1 AS next_index FROM cc")
 def a25(t):
-    return t("supplier").agg((F.max(F.regexp_extract("s_name", r"(\d+)$", 1).cast("int")) + 1).alias("next_index"))
+    return io.next_report_index(clean_chunks(t("chunks")), "file_name")
 
 
 @query("a29_merged_settings", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_nationkey AS k, lower(n_name) AS v FROM nation WHERE n_nationkey > 15) b ON a.k = b.k")
@@ -48,9 +48,9 @@ def a29(t):
     return io.merged_settings(n.where("k < 20"), n.where("k > 15").withColumn("v", F.lower("v")), "k", "v")
 
 
-@query("a30_scraped_names", "SELECT doc_id, unnest(regexp_extract_all(text, '`([a-z_]+)\\(\\)`', 1)) AS name FROM documents WHERE source = 'readme'")
+@query("a30_scraped_names", "SELECT doc_id, unnest(regexp_extract_all(text, '`([a-z_]+)\\(\\)`', 1)) AS name FROM documents")
 def a30(t):
-    return t("documents").where("source = 'readme'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"`([a-z_]+)\(\)`"), 1)).alias("name"))
+    return t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"`([a-z_]+)\(\)`"), 1)).alias("name"))
 
 
 @query("a31_pending", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
