@@ -155,6 +155,67 @@ def blocks(files: DataFrame) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------------- Java blocks
+_J_NO_CODE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?", re.S)
+_J_TYPE = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
+_J_METHOD = re.compile(r"(\w+)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:throws\s[\w.,\s]+)?$")
+_J_NO_METHOD = frozenset("if for while switch catch synchronized try return new else do".split())
+
+
+def _java_blocks(repo_id, path, text) -> Iterator[tuple]:
+    text = text or ""
+    code = _J_NO_CODE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    line_at = lambda at: code.count("\n", 0, at) + 1
+    found: list[list] = [[0, None, "module", "module", "", 1, code.count("\n") + 1, [], []]]
+    stack: list[int | None] = [0]
+    begin = 0
+
+    def holder() -> int:
+        return next(b for b in reversed(stack) if b is not None)
+
+    for m in re.finditer(r"[{};]", code):
+        head = code[begin : m.start()]
+        start = begin + len(head) - len(head.lstrip())
+        if m[0] == "{":
+            up = found[holder()]
+            own = None
+            declared = re.sub(r"@\w+(?:\.\w+)*(?:\s*\([^()]*\))?", " ", head).strip()
+            if t := _J_TYPE.search(declared.partition("(")[0] if " record " not in f" {declared}" else declared):
+                refs = [{"kind": "is_a", "target": n.strip()} for n in re.findall(r"(?:extends|implements)\s+([\w.<>,\s]+?)(?=\bextends\b|\bimplements\b|\bpermits\b|$)", declared) for n in re.split(r",(?![^<]*>)", n)]
+                own = ["class" if t[1] == "record" else t[1], t[2], [], refs]
+            elif up[2] in ("class", "interface", "enum") and "=" not in declared and (t := _J_METHOD.search(declared)) and t[1] not in _J_NO_METHOD:
+                params = [p.split()[-1].strip(".[]") for p in re.split(r",(?![^<]*>)", t[2]) if p.strip()]
+                own = ["constructor" if t[1] == up[3] else "function", t[1], params, []]
+            if own:
+                full = f"{up[4]}.{own[1]}" if up[4] else own[1]
+                found.append([len(found), up[0], own[0], own[1], full, line_at(start), 0, own[2], own[3]])
+                stack.append(len(found) - 1)
+            else:
+                stack.append(None)
+        elif m[0] == "}":
+            if len(stack) > 1 and (b := stack.pop()) is not None:
+                found[b][6] = line_at(m.start())
+        elif t := re.match(r"\s*import\s+(?:static\s+)?([\w.*]+)\s*$", head):
+            found.append([len(found), holder(), "import", t[1], t[1], line_at(start), line_at(m.start()), [], [{"kind": "import", "target": t[1]}]])
+        begin = m.end()
+    seen: set = set()
+    for b, up, kind, name, full, first, last, params, refs in found:
+        twice = int((up, kind, name) in seen and kind in ("class", "interface", "enum"))
+        seen.add((up, kind, name))
+        yield repo_id, path, b, up, kind, name, full, first, last or found[0][6], params, refs, twice
+
+
+def java_blocks(files: DataFrame) -> DataFrame:
+    """As blocks(), for .java files (B4): types, constructors, methods and imports by their declarations and brackets.
+
+    Overloaded methods are no repeated names; what a file that breaks off leaves open ends with the file.
+    """
+    return map_files(
+        files.where(F.col("file_path").endswith(".java")), _java_blocks,
+        "repo_id INT, file_path STRING, block INT, parent INT, type STRING, identifier STRING, path STRING, start_line INT, end_line INT, params ARRAY<STRING>, relationships ARRAY<STRUCT<kind: STRING, target: STRING>>, duplicate INT",
+    )
+
+
 # --------------------------------------------------------------------------- captures
 def _captures(repo_id, path, text) -> Iterator[tuple]:
     tree = parse(text)
@@ -276,14 +337,14 @@ def hunks(patches: DataFrame, keys: list[str], text: str = "content") -> DataFra
     """(keys, file, start, end) of the hunks of unified diffs.
 
     A hunk's lines are trimmed by its context: start = old start + max(1, min(3, old start - 3)), end = start + max(0, old length - 7).
-    Headers without lengths are skipped.  'diff --git' names the file of all that follows; '--- a/' does so only as
-    long as nothing has named one, so the hunks of a new file are its own.
+    Headers without lengths are skipped.  'diff --git a/' and '--- a/' name the file of what follows, so the hunks of a
+    new file, which has '/dev/null' in the second place, are its own.
     """
     lines = numbered_lines(patches.select(*keys, text), text)
     git, minus = r"^diff --git a/(.+) b/.+", r"^--- a/(.+)"
     so_far = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of = lambda header: F.nullif(F.regexp_extract("line", header, 1), F.lit(""))
-    named = lines.withColumn("file", F.coalesce(F.last(of(git), True).over(so_far), F.first(of(minus), True).over(so_far))).where("file IS NOT NULL")
+    named = lines.withColumn("file", F.last(F.coalesce(of(git), of(minus)), True).over(so_far)).where("file IS NOT NULL")
     m = F.regexp_extract
     header = r"^@@ -(\d+),(\d+) \+(\d+),(\d+) @@"
     h = named.where(F.col("line").rlike(header)).withColumn("a", m("line", header, 1).cast("int")).withColumn("n", m("line", header, 2).cast("int"))

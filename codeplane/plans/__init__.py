@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-for _m in ("metrics", "ordered", "search", "code", "graph", "tables", "patches"):
+for _m in ("metrics", "ordered", "search", "code", "graph", "tables", "patches", "lookups"):
     try:
         import_module(f".{_m}", __name__)
     except ModuleNotFoundError as e:

@@ -90,11 +90,12 @@ def b15(t):
     return B.contexts(B.captures(_py(t)))
 
 
-@query("b16_gaps", f"""WITH {CC}, g AS (SELECT repo_id, file_path, ord, start_line, max(end_line) OVER (PARTITION BY repo_id, file_path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM cc)
+@query("b16_gaps", f"""WITH {CC}, g AS (SELECT repo_id, file_path, ord, start_line, max(end_line) OVER (PARTITION BY repo_id, file_path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM cc WHERE len(map_keys(imports)) > 0)
  SELECT repo_id, file_path, last + 1 AS gap_start, start_line - 1 AS gap_end FROM g WHERE start_line > last + 1""")
 def b16(t):
+    """The lines between the chunks of a file that import something."""
     w = Window.partitionBy("repo_id", "file_path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    g = _cc(t).select("repo_id", "file_path", "start_line", F.max("end_line").over(w).alias("last"))
+    g = _cc(t).where(F.size(F.map_keys("imports")) > 0).select("repo_id", "file_path", "start_line", F.max("end_line").over(w).alias("last"))
     return g.where("start_line > last + 1").select("repo_id", "file_path", (F.col("last") + 1).alias("gap_start"), (F.col("start_line") - 1).alias("gap_end"))
 
 
@@ -106,7 +107,7 @@ def b17(t):
 _LINES = f"{CC}, ff AS (SELECT repo_id, file_path, string_agg(content, chr(10) ORDER BY ord) AS content FROM cc GROUP BY 1, 2), ll AS (SELECT repo_id, file_path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, regexp_replace(unnest(string_split(content, chr(10))), '\\r$', '') AS line FROM ff"
 
 
-@query("b18_hunks", f"""WITH {_LINES} WHERE content LIKE '%@@ -%'), f AS (SELECT *, coalesce(last_value(nullif(regexp_extract(line, '^diff --git a/(.+) b/.+', 1), '') IGNORE NULLS) OVER w, first_value(nullif(regexp_extract(line, '^--- a/(.+)', 1), '') IGNORE NULLS) OVER w) AS file
+@query("b18_hunks", f"""WITH {_LINES} WHERE content LIKE '%@@ -%'), f AS (SELECT *, last_value(coalesce(nullif(regexp_extract(line, '^diff --git a/(.+) b/.+', 1), ''), nullif(regexp_extract(line, '^--- a/(.+)', 1), '')) IGNORE NULLS) OVER w AS file
  FROM ll WINDOW w AS (PARTITION BY repo_id, file_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  h AS (SELECT *, CAST(regexp_extract(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@', 1) AS INT) AS a, CAST(regexp_extract(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@', 2) AS INT) AS n FROM f WHERE file IS NOT NULL AND regexp_matches(line, '^@@ -(\\d+),(\\d+) \\+(\\d+),(\\d+) @@'))
  SELECT repo_id, file_path, file, a + greatest(1, least(3, a - 3)) AS start, a + greatest(1, least(3, a - 3)) + greatest(0, n - 7) AS end_ FROM h""")
@@ -232,12 +233,11 @@ def c23(t):
     return t("region").join(t("nation").select(F.col("n_regionkey").alias("r_regionkey")), "r_regionkey", "left_semi").select("r_regionkey")
 
 
-@query("c25_served_files", f"WITH {CC}, k AS (SELECT DISTINCT id AS repo_id, unnest(cluster_files) AS tail FROM repos) SELECT DISTINCT repo_id, file_path FROM cc WHERE (repo_id, array_to_string(list_slice(string_split(file_path, '/'), -2, -1), '/')) IN (SELECT repo_id, tail FROM k)")
+@query("c25_served_files", f"WITH {CC}, k AS (SELECT DISTINCT id AS repo_id, string_split(unnest(cluster_files), '/')[-1] AS tail FROM repos) SELECT DISTINCT repo_id, file_path FROM cc WHERE (repo_id, string_split(file_path, '/')[-1]) IN (SELECT repo_id, tail FROM k)")
 def c25(t):
-    p = F.split("file_path", "/")
-    k = t("repos").select(F.col("id").alias("repo_id"), F.explode("cluster_files").alias("tail")).distinct()
-    c = _cc(t).select("repo_id", "file_path", F.array_join(F.when(F.size(p) > 1, F.slice(p, -2, 2)).otherwise(p), "/").alias("tail"))
-    return c.join(k, ["repo_id", "tail"], "left_semi").select("repo_id", "file_path").distinct()
+    """Files whose name is that of one of their repository's cluster files."""
+    k = t("repos").select(F.col("id").alias("repo_id"), F.explode("cluster_files").alias("f")).select("repo_id", X.basename(F.col("f")).alias("tail")).distinct()
+    return _cc(t).select("repo_id", "file_path", X.basename(F.col("file_path")).alias("tail")).join(k, ["repo_id", "tail"], "left_semi").select("repo_id", "file_path").distinct()
 
 
 @query("c27_nested_default", f"WITH {CC} SELECT repo_id, file_path, ord, coalesce(summary.short_description, 'none') AS short FROM cc")

@@ -21,14 +21,14 @@ def chunks(spark, rows):
 def test_name_edges_reach_every_chunk(spark):
     rnd = random.Random(5)
     names = [f"n{i}" for i in range(40)]
-    table = [(r, f"f{f}.py", o, rnd.sample(names, 2), {"m": rnd.sample(names, 3)}) for r in range(3) for f in range(2) for o in range(8)]
+    table = [(r, f"d{f}/f.py", o, rnd.sample(names, 2), {"m": rnd.sample(names, 3)}) for r in range(3) for f in range(2) for o in range(8)]
     c = chunks(spark, table)
     key = lambda row: f"{row[0]}:{row[1]}:{row[2]}"
-    edges = {(key(a), key(b), next(n for n in a[4]["m"] if n in b[3])) for a in table for b in table if key(a) != key(b) and set(a[4]["m"]) & set(b[3])}
+    edges = {(key(a), key(b), next(n for n in a[4]["m"] if n in b[3])) for a in table for b in table if a[0] == b[0] and key(a) != key(b) and set(a[4]["m"]) & set(b[3])}
     assert {(r.src, r.dst, r.name) for r in code.n15(lambda _: c).collect()} == edges
     counts: dict = {}
     for a, b, _ in edges:
-        pair = int(a.split(":")[0]), int(b.split(":")[0])
+        pair = a.split("/")[0], b.split("/")[0]
         if pair[0] != pair[1]:
             counts[pair] = counts.get(pair, 0) + 1
     assert {(r.src_cluster, r.dst_cluster): r.n_edges for r in code.n16(lambda _: c).collect()} == counts
@@ -74,16 +74,16 @@ class A(base(), metaclass=meta()):
     assert of["deco"] == of["default"] == ("function", "f") and of["test"] == ("compound", "if") and of["handle"][0] == "statement" and of["errors"] == ("compound", "try") and of["guard"] == ("compound", "match")
 
 
-def test_communities_go_on_until_no_label_changes(spark):
+def test_communities_go_on_until_no_move_shortens_the_description(spark):
     links = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(10) for _ in range(10 - i)] + [(f"x{i}", f"y{j}") for i in range(3) for j in range(3)]
-    label = {r.node: r.community for r in graphs.communities(spark.createDataFrame(links, "src STRING, dst STRING")).collect()}
-    for node, own in label.items():
-        votes = {own: 1}
-        for a, b in links:
-            if node in (a, b):
-                other = label[b if node == a else a]
-                votes[other] = votes.get(other, 0) + 1
-        assert min(votes, key=lambda c: (-votes[c], c)) == own
+    edges = spark.createDataFrame(links, "src STRING, dst STRING")
+    label = {r.node: r.community for r in graphs.communities(edges).collect()}
+    bits = lambda l: graphs.codelength(edges, spark.createDataFrame(list(l.items()), "node STRING, community STRING")).first().codelength
+    least = bits(label)
+    assert least < bits(dict.fromkeys(label, "one")) and least < bits({v: v for v in label})
+    for node in ("n00", "n04", "n05", "n10", "x1"):
+        near = {label[b if node == a else a] for a, b in links if node in (a, b)} - {label[node]}
+        assert all(least <= bits(label | {node: c}) + 1e-9 for c in near)
 
 
 def test_expansion_goes_on_until_the_budget_is_spent(spark):
