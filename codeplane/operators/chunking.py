@@ -129,10 +129,18 @@ def expanded_context(context: DataFrame, related: DataFrame, spans: DataFrame, l
     return x.withColumn("__fits", F.every(fits).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("__fits").select(*group, "span_id", "tokens")
 
 
-def concatenated(chunks: DataFrame, group: list[str], order: list[str], text: str = "content", separator: str = "\n") -> DataFrame:
-    """Texts of a group joined in order."""
-    x = chunks.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("t")))).alias("x"))
-    return x.select(*group, F.array_join(F.transform("x", lambda r: r["t"]), separator).alias("text"))
+def concatenated(chunks: DataFrame, group: list[str], order: list[str], text: str = "content", separator: str = "\n", size: int = 1000) -> DataFrame:
+    """Texts of a group joined in order, in parts of at most ``size`` rows (N19, J14, J17, A26): group.., part, n, text.
+
+    The parts of a group, in order of part and joined by the separator, are its text; so a group of any size is spread
+    over tasks, and no text is longer than its part. Null texts are empty.
+    """
+    from .ordered import numbered
+
+    rows = chunks.select(*group, *order, F.coalesce(text, F.lit("")).alias("t"))
+    x = numbered(rows, [F.col(c) for c in (*group, *order)], "__n").withColumn("part", F.floor(F.col("__n") / size))
+    x = x.groupBy(*group, "part").agg(F.sort_array(F.collect_list(F.struct("__n", "t"))).alias("x"))
+    return x.select(*group, "part", F.size("x").alias("n"), F.array_join(F.transform("x", lambda r: r["t"]), separator).alias("text"))
 
 
 def valid_chunks(chunks: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def b23(t):
     return t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"`([a-z_]+)\(\)`"), 1)).alias("ref"))
 
 
-@query("b24_clean_markdown")
+@query("b24_clean_markdown", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?m)^```(?:markdown|md)?\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents")
 def b24(t):
     return t("documents").select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
 
@@ -202,7 +202,7 @@ def c11(t):
     return m.where(X.ignorable_comment(F.col("c"))).select("repo_id", "file_path", "line_no")
 
 
-@query("c12_generated_large")
+@query("c12_generated_large", f"WITH {CC}, f AS (SELECT repo_id, file_path, tokens, first_value(content) OVER (PARTITION BY repo_id, file_path ORDER BY ord) AS fc FROM cc), g AS (SELECT repo_id, file_path, min(fc) AS fc, sum(tokens) AS tokens FROM f GROUP BY 1, 2) SELECT repo_id, file_path, tokens FROM g WHERE tokens > 2000 AND regexp_matches(lower(split_part(fc, chr(10), 1)), '^\\s*(#|//|/\\*).*generated')")
 def c12(t):
     return K.generated_over_limit(_cc(t))
 
@@ -422,7 +422,8 @@ def j7(t):
 
 @query("j14_repo_text", f"WITH {CC} SELECT repo_id, length(string_agg(coalesce(content, ''), chr(10) ORDER BY file_path, ord)) AS n_chars FROM cc GROUP BY 1")
 def j14(t):
-    return K.concatenated(_cc(t), ["repo_id"], ["file_path", "ord"]).select("repo_id", F.length("text").alias("n_chars"))
+    parts = K.concatenated(_cc(t), ["repo_id"], ["file_path", "ord"])
+    return parts.groupBy("repo_id").agg((F.sum(F.length("text")) + F.count("*") - 1).alias("n_chars"))
 
 
 @query("j16_json_codec", f"WITH {CC} SELECT repo_id, file_path, ord, start_line, tokens FROM cc")
@@ -433,7 +434,8 @@ def j16(t):
 
 @query("j17_cluster_text", f"WITH {CC} SELECT repo_id, length(string_agg(chunk_id, chr(10) ORDER BY file_path, ord)) AS n_chars FROM cc GROUP BY 1")
 def j17(t):
-    return K.concatenated(_cc(t), ["repo_id"], ["file_path", "ord"], "chunk_id").select("repo_id", F.length("text").alias("n_chars"))
+    parts = K.concatenated(_cc(t), ["repo_id"], ["file_path", "ord"], "chunk_id")
+    return parts.groupBy("repo_id").agg((F.sum(F.length("text")) + F.count("*") - 1).alias("n_chars"))
 
 
 _G10 = f"""{CC}, s AS (SELECT repo_id, file_path, ord AS span_id, greatest(coalesce(tokens, 0), 0) AS tokens, coalesce(len(map_keys(imports)) > 0, false) AS inside FROM cc),

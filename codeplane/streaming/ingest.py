@@ -19,7 +19,9 @@ def apply_batch(spark: SparkSession, batch: DataFrame, store: str, version: int,
 
     A version is a folder of its own, so a batch that is replayed after a failure writes the same folder again.
     """
-    new = hashed(batch.dropDuplicates([key]), key, text)
+    known = hashed(batch, key, text)
+    # of several texts for a key in a batch the one with the greatest hash counts, however often the batch is replayed
+    new = known.groupBy(key).agg(F.max_by(F.struct(*[c for c in known.columns if c != key]), "hash").alias("r")).select(key, "r.*").select(*known.columns)
     old = spark.read.parquet(f"{store}/v={version - 1}") if version > 0 else new.limit(0)
     actions = ingest_diff(old.join(new.select(key), key, "left_semi"), new, [key])
     kept = old.join(new.select(key), key, "left_anti")
