@@ -5,37 +5,107 @@ Tables carry (repo_id, file_path); joins are on the file first, so a range condi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILE = ["repo_id", "file_path"]
 
 
+class _Ends:
+    """The least key among the intervals put in so far that end at a line or behind it; put and find take log n steps."""
+
+    def __init__(self, ends: list[int]):
+        self.ends = sorted(set(ends))
+        self.best: list = [None] * (len(self.ends) + 1)
+
+    def put(self, end: int, key: tuple):
+        i = len(self.ends) - bisect_left(self.ends, end)
+        while i < len(self.best):
+            if self.best[i] is None or key < self.best[i]:
+                self.best[i] = key
+            i += i & -i
+
+    def find(self, end: int) -> tuple | None:
+        i, found = len(self.ends) - bisect_left(self.ends, end), None
+        while i > 0:
+            if self.best[i] is not None and (found is None or self.best[i] < found):
+                found = self.best[i]
+            i -= i & -i
+        return found
+
+
+def _enclosing(ranges: list[tuple[int, int]], scopes: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(s, e, id) of ranges and the smallest of the scopes (start, end, id) that holds each, the first id on ties; one sweep by start."""
+    ends = _Ends([e for _, e, _ in scopes])
+    todo = sorted(scopes)
+    at, out = 0, []
+    for s, e in sorted(ranges):
+        while at < len(todo) and todo[at][0] <= s:
+            a, b, i = todo[at]
+            ends.put(b, (b - a, i))
+            at += 1
+        if found := ends.find(e):
+            out.append((s, e, found[1]))
+    return out
+
+
+def _parents(scopes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(id, parent) of scopes (id, start, end) in order of id: the smallest of those before it that holds it, the last of these on ties."""
+    ends = _Ends([e for _, _, e in scopes])
+    out, todo = [], sorted(scopes)
+    for i, s, e in todo:
+        # a scope before this one begins on its line or before it, as ids follow the text
+        found = ends.find(e)
+        out.append((i, -found[1] if found else 0))
+        ends.put(e, (e - s, -i))
+    return out
+
+
+def _per_file(rows: DataFrame, each, file: list[str], names: list[str], types: list[str]) -> DataFrame:
+    """Rows that each(*lists) makes of the lists of every file."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = dict(rows.dtypes)
+    ddl = ", ".join([*(f"{c} {kinds[c]}" for c in file), *(f"{n} {t}" for n, t in zip(names, types))])
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+    k = len(file)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                lists = [[tuple(x.values()) for x in r] for r in row[k:]]
+                out.extend((*row[:k], *x) for x in each(*lists))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, map(list, zip(*out)))), schema=arrow)
+
+    return rows.mapInArrow(run, ddl)
+
+
 def smallest_enclosing(ranges: DataFrame, scopes: DataFrame, file: list[str] = FILE) -> DataFrame:
     """Each range with the smallest scope that holds it, the first id on ties; 0, the file, if none does.
 
-    ranges(file.., s, e, ..), scopes(file.., scope_id, start_row, end_row).
+    ranges(file.., s, e, ..), scopes(file.., scope_id, start_row, end_row). The distinct lines of a file's ranges and its scopes
+    meet in one sweep, so the time grows with n log n of the file, not with their product.
     """
-    # many ranges share their lines, and scopes theirs: only distinct lines meet
-    sc = scopes.groupBy(*file, "start_row", "end_row").agg(F.min("scope_id").alias("scope_id"))
-    hit = ranges.select(*file, "s", "e").distinct().join(sc, file).where((F.col("start_row") <= F.col("s")) & (F.col("e") <= F.col("end_row")))
-    best = hit.groupBy(*file, "s", "e").agg(F.min_by("scope_id", F.struct((F.col("end_row") - F.col("start_row")).alias("n"), F.col("scope_id"))).alias("scope_id"))
+    r = ranges.select(*file, "s", "e").where("s IS NOT NULL AND e IS NOT NULL").groupBy(*file).agg(F.collect_set(F.struct("s", "e")).alias("r"))
+    sc = scopes.where("start_row IS NOT NULL AND end_row IS NOT NULL").groupBy(*file).agg(F.collect_list(F.struct("start_row", "end_row", "scope_id")).alias("sc"))
+    kinds, rk = dict(scopes.dtypes), dict(ranges.dtypes)
+    best = _per_file(r.join(sc, file).select(*file, "r", "sc"), _enclosing, file, ["s", "e", "scope_id"], [rk["s"], rk["e"], kinds["scope_id"]])
     return ranges.join(best, [*file, "s", "e"], "left").withColumn("scope_id", F.coalesce("scope_id", F.lit(0)))
 
 
 def scope_table(caps: DataFrame) -> DataFrame:
-    """Scopes with their parents, 0 being the file (N2): the smallest of the scopes before it that holds it."""
+    """Scopes with their parents, 0 being the file (N2): the smallest of the scopes before it that holds it; one sweep per file."""
     s = caps.where("kind = 'scope'").select(*FILE, F.col("ord").alias("scope_id"), "sub", "name", "start_row", "end_row")
-    lines = Window.partitionBy(*FILE, "start_row", "end_row").orderBy("scope_id")
-    s = s.withColumn("same", F.lag("scope_id").over(lines))  # a scope of the same lines just before is the smallest there can be
-    p = s.where("same IS NULL").select(*FILE, F.col("scope_id").alias("p_id"), F.col("start_row").alias("p_start"), F.col("end_row").alias("p_end"))
-    top = s.where("same IS NULL").drop("same")
-    hit = top.join(p, FILE).where((F.col("p_id") < F.col("scope_id")) & (F.col("p_start") <= F.col("start_row")) & (F.col("end_row") <= F.col("p_end")))
-    # the enclosing lines of the least extent, and of the scopes with these lines the last before this one
-    best = hit.groupBy(*FILE, "scope_id").agg(F.min_by(F.struct("p_start", "p_end"), F.col("p_end") - F.col("p_start")).alias("q"))
-    last = s.select(*FILE, F.col("scope_id").alias("l_id"), F.col("start_row").alias("p_start"), F.col("end_row").alias("p_end"))
-    found = best.select(*FILE, "scope_id", "q.*").join(last, [*FILE, "p_start", "p_end"]).where("l_id < scope_id").groupBy(*FILE, "scope_id").agg(F.max("l_id").alias("up"))
-    return s.join(found, [*FILE, "scope_id"], "left").withColumn("parent_id", F.coalesce("same", "up", F.lit(0))).drop("same", "up")
+    lists = s.groupBy(*FILE).agg(F.collect_list(F.struct("scope_id", "start_row", "end_row")).alias("s"))
+    up = _per_file(lists, _parents, FILE, ["scope_id", "parent_id"], ["int", "int"])
+    return s.join(up, [*FILE, "scope_id"], "left").withColumn("parent_id", F.coalesce("parent_id", F.lit(0)))
 
 
 def placed(caps: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -213,3 +213,15 @@ def test_deep_files_are_whole(spark):
     text = "".join("    " * i + f"def f{i}():\n" for i in range(90)) + "    " * 90 + "x = " + "+".join(["g()"] * n) + "\n"
     rows = extract.blocks(files(spark, ("d.py", text))).collect()
     assert sum(r.type == "function" for r in rows) == 90 and sum(len(r.relationships) for r in rows) == n
+
+
+def test_sweeps_find_what_all_pairs_would():
+    r = random.Random(8)
+    for _ in range(60):
+        sc = [(a, a + r.randrange(6), i) for i, a in enumerate((r.randrange(20) for _ in range(r.randrange(12))), 1)]
+        rg = {(a, a + r.randrange(3)) for a in (r.randrange(20) for _ in range(10))}
+        want = {(s, e): min(((b - a, i) for a, b, i in sc if a <= s and e <= b), default=None) for s, e in rg}
+        assert {(s, e): i for s, e, i in scopes._enclosing(list(rg), sc)} == {k: v[1] for k, v in want.items() if v}
+        tree = [(i, a, b) for i, (a, b, _) in enumerate(sorted(sc), 1)]
+        up = {i: min(((q[2] - q[1], -q[0]) for q in tree if q[0] < i and q[1] <= a and b <= q[2]), default=(0, 0)) for i, a, b in tree}
+        assert dict(scopes._parents(tree)) == {i: -k for i, (_, k) in up.items()}
