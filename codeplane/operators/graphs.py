@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 from functools import reduce
-from itertools import count
+from itertools import count, groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,60 +162,74 @@ def _modules(nodes: DataFrame, links: DataFrame, least: float) -> DataFrame:
     return labels
 
 
-def small_modules(src: list, dst: list, weight: list, least: float = 1e-9) -> dict:
-    """node -> module of a graph in memory, by the same search, one move at a time; links in both directions."""
+def _sweep(near: list[dict[int, float]], flow: list[float], label: list[int], outside: float, least: float) -> bool:
+    """Moves nodes between neighbouring modules, one at a time, while that shortens the map equation; whether any moved."""
     plogp = lambda x: x * math.log2(x) if x > 0 else 0.0
+    n = len(near)
+    out = [sum(x.values()) for x in near]
+    p, q = [0.0] * n, [0.0] * n
+    for i in range(n):
+        p[label[i]] += flow[i]
+        q[label[i]] += sum(w for j, w in near[i].items() if label[j] != label[i])
+    total = sum(q) + outside
+    moved, changed = True, False
+    while moved:
+        moved = False
+        for i in range(n):
+            a = label[i]
+            to: dict[int, float] = {}
+            for j, w in near[i].items():
+                to[label[j]] = to.get(label[j], 0.0) + w
+            wa = to.pop(a, 0.0)
+            qa = max(0.0, q[a] - out[i] + 2 * wa)
+            best, chosen = -least, None
+            for b, wb in sorted(to.items()):
+                qb = max(0.0, q[b] + out[i] - 2 * wb)
+                gain = plogp(total + qa + qb - q[a] - q[b]) - plogp(total) - 2 * (plogp(qa) + plogp(qb) - plogp(q[a]) - plogp(q[b]))
+                gain += plogp(qa + p[a] - flow[i]) + plogp(qb + p[b] + flow[i]) - plogp(q[a] + p[a]) - plogp(q[b] + p[b])
+                if gain < best:
+                    best, chosen = gain, (b, qb)
+            if chosen:
+                b, qb = chosen
+                total += qa + qb - q[a] - q[b]
+                q[a], q[b], label[i] = qa, qb, b
+                p[a] -= flow[i]
+                p[b] += flow[i]
+                moved = changed = True
+    return changed
+
+
+def small_modules(src: list, dst: list, weight: list, least: float = 1e-9, outside: float = 0.0) -> tuple[dict, float, float]:
+    """(node -> module, what leaves the modules, the sum of their terms) of a graph in memory, by the same search, one move at a time.
+
+    Links in both directions; outside is what leaves the modules of the rest of the graph. Nodes and whole modules move
+    by turns until neither gains.
+    """
     names = sorted(set(src))
     place = {v: i for i, v in enumerate(names)}
     near: list[dict[int, float]] = [{} for _ in names]
     for a, b, w in zip(src, dst, weight):
         near[place[a]][place[b]] = near[place[a]].get(place[b], 0.0) + w
     flow = [sum(x.values()) for x in near]
-    belongs = list(range(len(names)))
+    label = list(range(len(names)))
     while True:
-        n = len(near)
-        out = [sum(x.values()) for x in near]
-        label, p, q = list(range(n)), [*flow], [*out]
-        total = sum(q)
-        moved = changed = True
-        changed = False
-        while moved:
-            moved = False
-            for i in range(n):
-                a = label[i]
-                to: dict[int, float] = {}
-                for j, w in near[i].items():
-                    to[label[j]] = to.get(label[j], 0.0) + w
-                wa = to.pop(a, 0.0)
-                qa = max(0.0, q[a] - out[i] + 2 * wa)
-                best, chosen = -least, None
-                for b, wb in sorted(to.items()):
-                    qb = max(0.0, q[b] + out[i] - 2 * wb)
-                    gain = plogp(total + qa + qb - q[a] - q[b]) - plogp(total) - 2 * (plogp(qa) + plogp(qb) - plogp(q[a]) - plogp(q[b]))
-                    gain += plogp(qa + p[a] - flow[i]) + plogp(qb + p[b] + flow[i]) - plogp(q[a] + p[a]) - plogp(q[b] + p[b])
-                    if gain < best:
-                        best, chosen = gain, (b, qb)
-                if chosen:
-                    b, qb = chosen
-                    total += qa + qb - q[a] - q[b]
-                    q[a], q[b], label[i] = qa, qb, b
-                    p[a] -= flow[i]
-                    p[b] += flow[i]
-                    moved = changed = True
-        if not changed:
-            return {v: belongs[i] for v, i in place.items()}
+        changed = _sweep(near, flow, label, outside, least)
         number = {m: k for k, m in enumerate(sorted(set(label)))}
-        belongs = [number[label[m]] for m in belongs]
+        label = [number[m] for m in label]
         wider: list[dict[int, float]] = [{} for _ in number]
         flows = [0.0] * len(number)
-        for i in range(n):
-            a = number[label[i]]
+        for i, x in enumerate(near):
+            a = label[i]
             flows[a] += flow[i]
-            for j, w in near[i].items():
-                b = number[label[j]]
-                if a != b:
-                    wider[a][b] = wider[a].get(b, 0.0) + w
-        near, flow = wider, flows
+            for j, w in x.items():
+                if label[j] != a:
+                    wider[a][label[j]] = wider[a].get(label[j], 0.0) + w
+        up = list(range(len(number)))
+        if not _sweep(wider, flows, up, outside, least) and not changed:
+            leaves = [sum(x.values()) for x in wider]
+            plogp = lambda x: x * math.log2(x) if x > 0 else 0.0
+            return {v: label[i] for v, i in place.items()}, sum(leaves), sum(plogp(q + p) - 2 * plogp(q) for q, p in zip(leaves, flows))
+        label = [up[m] for m in label]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,6 +251,8 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Links of a connected component up to which it is searched in one task; larger ones are searched by all.
 SMALL = 200_000
+#: Bits that another pass over the components must gain to be followed by one more.
+PASS = 1e-2
 
 
 def communities(edges: DataFrame, least: float = 1e-9, small: int = SMALL) -> DataFrame:
@@ -243,8 +260,8 @@ def communities(edges: DataFrame, least: float = 1e-9, small: int = SMALL) -> Da
 
     Parallel edges count as often as they occur; isolated nodes have no community.  Nodes begin alone and move
     where that shortens the description most; then whole modules move as nodes do, until nothing gains.  Connected
-    components are searched apart from each other: those of up to ``small`` links each in a task, larger ones by
-    rounds of joins and aggregations over all tasks.
+    components of up to ``small`` links are searched each in a task, and again with what leaves the others' modules
+    until a pass gains less than PASS; larger ones by rounds of joins and aggregations over all tasks.
     """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
     links = checkpointed(both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
@@ -258,13 +275,39 @@ def communities(edges: DataFrame, least: float = 1e-9, small: int = SMALL) -> Da
     def search(frame):
         import pandas as pd
 
-        found = small_modules(frame["src"].tolist(), frame["dst"].tolist(), frame["w"].tolist(), least)
-        first: dict = {}
-        for v, m in found.items():
-            first[m] = min(first.get(m, v), v)
-        return pd.DataFrame([(v, first[m]) for v, m in found.items()], columns=["node", "community"])
-
-    few = placed.join(sizes.where(F.col("n") <= small), "component", "left_semi").groupBy("component").applyInPandas(search, f"node {kind}, community {kind}")
+        rows = []
+        every = sorted(zip(frame["component"].tolist(), frame["src"].tolist(), frame["dst"].tolist(), frame["w"].tolist(), frame["outside"].tolist()))
+        for c, part in groupby(every, key=itemgetter(0)):
+            _, src, dst, w, outside = zip(*part)
+            found, q, terms = small_modules(src, dst, w, least, outside[0])
+            first: dict = {}
+            for v, m in found.items():
+                first[m] = min(first.get(m, v), v)
+            rows += [(v, first[m], c, q, terms) for v, m in found.items()]
+        return pd.DataFrame(rows, columns=["node", "community", "component", "q", "terms"])
+
+    # components share a task up to about as many links as one of them may have
+    tasks = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // small) if small else 1)
+    mine = placed.join(sizes.where(F.col("n") <= small), "component", "left_semi").select("component", "src", "dst", "w")
+    mine = checkpointed(mine)
+    few, length = None, None
+    while True:
+        # what leaves the modules of all other components weighs on a component's own search
+        if few is None:
+            around = mine.withColumn("outside", F.lit(0.0))
+        else:
+            own = few.groupBy("component").agg(F.first("q").alias("q"))
+            every = own.agg(F.sum("q").alias("every"))
+            around = mine.join(own, "component").join(F.broadcast(every)).withColumn("outside", F.greatest(F.col("every") - F.col("q"), F.lit(0.0))).drop("q", "every")
+        found = checkpointed(around.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks))).applyInPandas(search, f"node {kind}, community {kind}, component {kind}, q DOUBLE, terms DOUBLE"))
+        sums = found.groupBy("component").agg(F.first("q").alias("q"), F.first("terms").alias("terms")).agg(F.sum("q").alias("q"), F.sum("terms").alias("terms")).first()
+        now = None if sums["q"] is None else (sums["q"] * math.log2(sums["q"]) if sums["q"] > 0 else 0.0) + sums["terms"]
+        gained = None if length is None or now is None else length - now
+        if few is None or gained is not None and gained > 0:
+            few, length = found, now
+        if now is None or gained is not None and gained < PASS:
+            break
+    few = few.select("node", "community")
     large = sizes.where(F.col("n") > small)
     if large.limit(1).count() == 0:
         return few

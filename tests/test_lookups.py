@@ -145,13 +145,13 @@ def _partitions(items):
 def test_communities_shorten_the_map_equation_as_far_as_any_partition():
     edges = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5)]
     both = [*edges, *((b, a) for a, b in edges)]
-    found = graphs.small_modules([a for a, _ in both], [b for _, b in both], [1 / len(both)] * len(both))
+    found, *_ = graphs.small_modules([a for a, _ in both], [b for _, b in both], [1 / len(both)] * len(both))
     best = min(_bits(edges, {v: i for i, p in enumerate(ps) for v in p}) for ps in _partitions(list(range(6))))
     assert _bits(edges, found) == pytest.approx(best)
     r = random.Random(4)
     edges = [(a, b) for a in range(24) for b in range(a + 1, 24) if r.random() < (0.7 if a // 6 == b // 6 else 0.04)]
     both = [*edges, *((b, a) for a, b in edges)]
-    found = graphs.small_modules([a for a, _ in both], [b for _, b in both], [1 / len(both)] * len(both))
+    found, *_ = graphs.small_modules([a for a, _ in both], [b for _, b in both], [1 / len(both)] * len(both))
     nodes = {v for e in edges for v in e}
     assert _bits(edges, found) <= min(_bits(edges, {v: v // 6 for v in nodes}), _bits(edges, dict.fromkeys(nodes, 0)), _bits(edges, {v: v for v in nodes})) + 1e-9
 
