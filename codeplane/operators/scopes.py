@@ -55,8 +55,12 @@ def _parents(scopes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(id, parent) of scopes (id, start, end) in order of id: the smallest of those before it that holds it, the last of these on ties."""
     ends = _Ends([e for _, _, e in scopes])
     out, todo = [], sorted(scopes)
+    if any(a[1] > b[1] for a, b in zip(todo, todo[1:])):  # ids that do not follow the text, as captures' do
+        for n, (i, s, e) in enumerate(todo):
+            out.append((i, -min(((b - a, -p) for p, a, b in todo[:n] if a <= s and e <= b), default=(0, 0))[1]))
+        return out
     for i, s, e in todo:
-        # a scope before this one begins on its line or before it, as ids follow the text
+        # a scope before this one begins on its line or before it
         found = ends.find(e)
         out.append((i, -found[1] if found else 0))
         ends.put(e, (e - s, -i))
