@@ -100,10 +100,15 @@ def latest_calls(usage: DataFrame) -> DataFrame:
 
 
 def cost_by(costs: DataFrame, *group: str) -> DataFrame:
-    """Calls, tokens, cost, savings and their share per group."""
+    """Calls, tokens, cost, savings and their share per group.
+
+    A group that cost and saved nothing has a share of NaN, one of unknown models null.
+    """
+    saved, whole = F.sum("saved"), F.sum("cost") + F.sum("saved")
+    share = F.when(whole == 0, saved * float("inf")).otherwise(100 * saved / whole)  # as floating point divides by 0, where Spark raises
     return costs.groupBy(*group).agg(
         F.count("*").alias("n_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("cost").alias("cost"), F.sum("saved").alias("saved"),
-        (100 * F.sum("saved") / (F.sum("cost") + F.sum("saved"))).alias("saved_percent"), F.sum(F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))).alias("latency_ms"),
+        share.alias("saved_percent"), F.sum(F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))).alias("latency_ms"),
     )
 
 

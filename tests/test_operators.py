@@ -93,6 +93,18 @@ def test_span_perplexity(spark):
     assert metrics.span_perplexity(lp, s).first().perplexity == pytest.approx(2.718281828**2)
 
 
+def test_sessions_that_cost_nothing(spark):
+    usage = [(1, "free", "embed", None, 0, 360), (2, "free", "embed", 0, 90, 7), (3, "unknown", "other", 10, 0, 5), (4, "no model", None, 10, 0, 5), (5, "paid", "embed", None, 0, 8), (6, "paid", "chat", 8, 4, 2), (7, "unpriced", "half", 4, 4, 1), (8, "odd", "embed", 0, -2, 1)]
+    prices = [("embed", 0.5, 0.25, 0.0), ("chat", 2.0, 1.0, 4.0), ("half", 2.0, 1.0, None)]
+    calls = spark.createDataFrame(usage, "call_id INT, session_id STRING, model STRING, prompt_tokens INT, cached_tokens INT, completion_tokens INT").withColumn("latency_ms", F.lit(1.0))
+    costs = metrics.call_costs(calls, spark.createDataFrame(prices, "model STRING, prompt DOUBLE, cached DOUBLE, completion DOUBLE"))
+    got = {r.session_id: (r.n_calls, r.cost, r.saved, str(r.saved_percent)) for r in metrics.cost_by(costs, "session_id").collect()}
+    assert got == {
+        "free": (2, 0.0, 0.0, "nan"), "unknown": (1, None, None, "None"), "no model": (1, None, None, "None"), "paid": (2, 20.0, 4.0, str(100 * 4.0 / 24.0)),
+        "unpriced": (1, None, 4.0, "None"), "odd": (1, 0.5, -0.5, "-inf"),
+    }
+
+
 def test_agreement_of_a_labelling_with_itself(spark):
     d = spark.createDataFrame([(i % 3, i % 3) for i in range(30)], "a INT, b INT")
     assert [round(x, 9) for x in metrics.agreement(d, "a", "b").first()] == [1, 1, 1]
